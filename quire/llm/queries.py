@@ -15,7 +15,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.media import inspect, store
+
+    out = inspect(store(_read(spark, sf_dir, "documents")))
+    return out.selectExpr("media_id as doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "size(carved) as n_carved")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.urls import judge, label_pages, train
+
+    pages = _read(spark, sf_dir, "pages")
+    return judge(pages, train(label_pages(pages, _read(spark, sf_dir, "labels"))))
+
+
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
+    "op10_url_filters": op10_url_filters,
     "op7_packing": op7_packing,
 }
 
