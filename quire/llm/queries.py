@@ -15,6 +15,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quire.llm import chat
+
+    own = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    done = chat.format_trees(chat.chain(rows, "conv_id", ["turn"], "role", "text"))
+    turns = done.select("tree", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("lost"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return turns.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2(F.col("lost").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.media import inspect, store
 
@@ -30,9 +50,25 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op4_media_columns": op4_media_columns,
     "op10_url_filters": op10_url_filters,
     "op7_packing": op7_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<\\[\\]]', '', 'g'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": f"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(13 + 2 * ({_ESCAPED.format("role")}) + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+        FROM said GROUP BY conv_id""",
+}
