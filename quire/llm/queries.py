@@ -9,6 +9,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack
 
@@ -53,6 +60,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_media_columns": op4_media_columns,
     "op10_url_filters": op10_url_filters,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
 }
 
