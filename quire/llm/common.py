@@ -142,7 +142,7 @@ _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n, kept for the next call."""
     if not _POW or len(_POW[0][0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
+        size = max(1 << n.bit_length(), CHUNK_BYTES) + 1
         out = []
         for b in (BASE, BASE_INV):
             p = np.full(size, b, U64)

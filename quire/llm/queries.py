@@ -49,6 +49,23 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("media_id as doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "size(carved) as n_carved")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quire.llm.decontaminate import find
+
+    found = find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.urls import judge, label_pages, train
 
@@ -59,6 +76,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_media_columns": op4_media_columns,
+    "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
