@@ -42,6 +42,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.substrings import removal
+
+    return removal(_read(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.media import inspect, store
 
@@ -75,6 +81,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_media_columns": op4_media_columns,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
