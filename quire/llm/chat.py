@@ -93,8 +93,9 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         ranked = leaves.select("tree", "leaf").withColumn("rank", F.lit(1))
     walk = table(ranked.select("tree", "leaf", "rank", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("dist")), "leaves")
     for k in reversed(range(len(jumps))):
-        more = step(walk, k).where(F.col("up").isNotNull()).select("tree", "leaf", "rank", F.col("up").alias("at"), (F.col("dist") + (1 << k)).alias("dist"))
-        walk = walk.unionByName(more)
+        here = F.struct("at", "dist")
+        there = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("at"), (F.col("dist") + (1 << k)).alias("dist")))
+        walk = step(walk, k).select("tree", "leaf", "rank", F.inline(F.array_compact(F.array(here, there))))
     out = table(walk.select("tree", "leaf", "rank", F.col("at").alias("node"), "dist"), "paths")
     drop(key, *jumps)
     return out
