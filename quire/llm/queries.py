@@ -55,6 +55,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("media_id as doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "size(carved) as n_carved")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.neardup import classes
+
+    return classes(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_media_columns": op4_media_columns,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
     "op6_quality_classifier": op6_quality_classifier,
