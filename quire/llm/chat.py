@@ -57,8 +57,8 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, node, dist): the messages on the best `top` root-to-leaf paths of each tree (None: all).
 
     A path's score is the mean score of its messages; ties go to the smaller leaf. A message whose
-    parent is null, or missing from the tree, is a root. Messages that hang in a cycle have no leaf
-    and appear on no path.
+    parent is null, or missing from the tree, is a root. Messages in a cycle, or below one, have no
+    root and appear on no path.
     """
     key = table(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     live = key.select(F.col("tree").alias("t"), F.col("node").alias("p")).distinct()
@@ -66,7 +66,8 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     # step 0: a message, its parent, and what the jump adds up
     jump = key.where("parent is not null").join(live, same(F.col("tree"), F.col("t")) & (F.col("parent") == F.col("p"))).select("tree", "node", F.col("parent").alias("up"), "score")
     jumps = [table(jump, "jump0")]
-    while not jumps[-1].isEmpty() and len(jumps) < 64:
+    largest = key.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while 1 << len(jumps) < largest:  # no path is longer than its tree has messages
         a = jumps[-1]
         b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"))
         nxt = table(a.join(b, same(F.col("tree"), F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score")), f"jump{len(jumps)}")
@@ -82,15 +83,15 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     inner = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = key.join(inner, same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("dist"))
+    ranked = leaves
+    for k in reversed(range(len(jumps))):  # to the root: the path's sum and length
+        ranked = step(ranked, k).select("tree", "leaf", F.coalesce("up", "at").alias("at"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"), F.when(F.col("up").isNotNull(), F.col("dist") + (1 << k)).otherwise(F.col("dist")).alias("dist"))
+    replies = jumps[0].select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    roots = key.join(replies, same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("score").alias("s"))
+    ranked = ranked.join(roots, same(F.col("tree"), F.col("t")) & (F.col("at") == F.col("n"))).select("tree", "leaf", ((F.col("total") + F.col("s")) / (F.col("dist") + 1)).alias("mean"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
     if top is not None:
-        ranked = leaves
-        for k in reversed(range(len(jumps))):  # to the root: the path's sum and length
-            ranked = step(ranked, k).select("tree", "leaf", F.coalesce("up", "at").alias("at"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"), F.when(F.col("up").isNotNull(), F.col("dist") + (1 << k)).otherwise(F.col("dist")).alias("dist"))
-        roots = key.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("score").alias("s"))
-        ranked = ranked.join(roots, same(F.col("tree"), F.col("t")) & (F.col("at") == F.col("n"))).select("tree", "leaf", ((F.col("total") + F.col("s")) / (F.col("dist") + 1)).alias("mean"))
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))).where(F.col("rank") <= top)
-    else:
-        ranked = leaves.select("tree", "leaf").withColumn("rank", F.lit(1))
+        ranked = ranked.where(F.col("rank") <= top)
     walk = table(ranked.select("tree", "leaf", "rank", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("dist")), "leaves")
     for k in reversed(range(len(jumps))):
         here = F.struct("at", "dist")

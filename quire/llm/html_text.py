@@ -106,6 +106,11 @@ def parse(text: str) -> tuple[Node, str]:
                 close(*IMPLIED_ENDS[tag])
             if tag in ("html", "body") and open_.get(tag):
                 continue
+            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < MAX_DEPTH:
+                row = Node("tr")
+                stack[-1].children.append(row)
+                stack.append(row)
+                open_["tr"] = open_.get("tr", 0) + 1
             node = Node(tag, m[3])
             stack[-1].children.append(node)
             if tag in VOID:
