@@ -72,12 +72,13 @@ def split_oversized(blocks: DataFrame, budget: int, text: str = "text") -> DataF
 # ---------------------------------------------------------------- the greedy fold
 
 
-def assign_groups(items: DataFrame, key: str, order: list[str], size: str, limit: int, max_items: int | None) -> DataFrame:
-    """Number greedy groups of each key in order: key, order..., size, group_id.
+def assign_groups(items: DataFrame, key: str, order: list[str], size: str, limit: int, max_items: int | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Number greedy groups of each key in order: key, order..., keep..., size, group_id.
 
     A group closes before an item that would bring its sum over limit, or when it has max_items.
+    The columns in keep travel along, which spares a join.
     """
-    src = items.select(key, *order, F.col(size).cast("long").alias(size)).repartition(key).sortWithinPartitions(key, *order)
+    src = items.select(key, *order, *keep, F.col(size).cast("long").alias(size)).repartition(key).sortWithinPartitions(key, *order)
     names = src.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +100,9 @@ def assign_groups(items: DataFrame, key: str, order: list[str], size: str, limit
     return src.mapInArrow(run, f"{schema}, group_id long")
 
 
-def build_batches(items: DataFrame, model: str, key: str = "book", order: tuple[str, ...] = ("d", "b", "part")) -> DataFrame:
-    """items (key, order, chars, tokens) with batch_id: the requests of each book, across its documents."""
-    cols = [key, *order]
-    light = items.select(*cols, "chars", "tokens")
-    ids = assign_groups(light, key, list(order), "tokens", token_budget(model), MAX_ITEMS)
-    joined = light.drop("tokens").join(ids, on=[light[c].eqNullSafe(ids[c]) for c in cols], how="inner")
-    return joined.select(*[light[c] for c in cols], light["chars"], ids["tokens"], ids["group_id"].alias("batch_id"))
+def build_batches(items: DataFrame, model: str, key: str = "book", order: tuple[str, ...] = ("d", "b", "part"), keep: tuple[str, ...] = ("chars",)) -> DataFrame:
+    """(key, order, keep, tokens, batch_id) of items: the requests of each book, across its documents."""
+    return assign_groups(items, key, list(order), "tokens", token_budget(model), MAX_ITEMS, keep).withColumnRenamed("group_id", "batch_id")
 
 
 def items_of(blocks: DataFrame, model: str) -> DataFrame:

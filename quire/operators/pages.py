@@ -88,7 +88,7 @@ def paragraphs(pages: DataFrame, keys: list[str], text: str = "text") -> DataFra
 def chapters(paras: DataFrame, book: str, order: list[str], text: str = "text") -> DataFrame:
     """paras with chapter (from 1), its id and its title: greedy chapters of 8,000 characters, none empty."""
     sized = paras.withColumn("chars", F.length(text).cast("long"))
-    ids = assign_groups(sized, book, order, "chars", CHAPTER_CHARS, None).drop("chars")
+    rest = tuple(c for c in paras.columns if c not in (book, *order))
+    done = assign_groups(sized, book, order, "chars", CHAPTER_CHARS, None, rest)
     n = F.col("group_id") + 1
-    done = sized.join(ids, [book, *order])
     return done.withColumns({"chapter": n, "chapter_id": F.concat(F.lit("ch"), F.lpad(n.cast("string"), 3, "0")), "title": F.concat(F.lit("Part "), n.cast("string"))}).drop("group_id")

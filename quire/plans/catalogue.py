@@ -66,14 +66,14 @@ def q06_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q07_pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run would still send for each book: an earlier one stopped after every book's first batch, and English lines are cached."""
-    items = batching.items_of(tables.blocks(spark, sf_dir), MODEL)
-    ids = batching.build_batches(items, MODEL)
     prefix = cache_prefix(F.lit(MODEL), F.lit(LANGUAGE), F.lit(INSTRUCTIONS))
-    keyed = items.select("book", "d", "b", "part", cache_key(prefix, F.col("text")).alias("k"))
-    known = keyed.where(F.col("book").endswith("/en")).select("k", F.lit("").alias("t")).distinct()
-    hits = cache.lookup(keyed, known).select("book", "d", "b", "part", F.col("t").isNotNull().alias("hit"))
-    resumed = ids.where("batch_id = 0").select("book", "batch_id")
-    return cache.pending(ids.select("book", "d", "b", "part", "batch_id").join(hits, ["book", "d", "b", "part"]), resumed)
+    items = cache.with_keys(batching.items_of(tables.blocks(spark, sf_dir), MODEL), prefix).drop("text")
+    known = items.where(F.col("book").endswith("/en")).select("k", F.lit("").alias("t")).distinct()
+    hits = cache.lookup(items, known).withColumn("hit", F.col("t").isNotNull())
+    batched = batching.build_batches(hits, MODEL, keep=("hit",))
+    # the log of a job that stopped after its first batch names that batch of every book
+    resumed = items.select("book").distinct().withColumn("batch_id", F.lit(0).cast("long"))
+    return cache.pending(batched, resumed)
 
 
 def _turn_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
