@@ -21,6 +21,7 @@ from quire.functions.text import collapse_ws, is_translatable
 
 #: The block elements.
 BLOCK_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote td th dd dt figcaption".split())
+#: The class of inserted translations, and its style.
 STYLE = ".ebtr-translation{margin:.45em 0;}"
 MARK_CLASS = "ebtr-translation"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -63,9 +63,11 @@ def strip_furniture(pages: DataFrame, book: str = "book", page: str = "page", te
     rows = rows.join(marks, [book, page], "left")
     top = F.coalesce("top", F.lit(0))
     bottom = F.least(F.coalesce("bottom", F.lit(0)), F.col("m") - top)
-    numbered = F.transform("ls", lambda s, i: F.struct(s.alias("s"), F.size(F.filter(F.slice(F.col("ls"), F.lit(1), i + 1), lambda x: x != "")).alias("rank")))
-    kept = F.filter(numbered, lambda x: (x["s"] == "") | ((x["rank"] > top) & (x["rank"] <= F.col("m") - bottom)))
-    plain = F.when(top + bottom == 0, F.array_join("ls", "\n")).otherwise(F.array_join(F.transform(kept, lambda x: x["s"]), "\n"))
+    places = F.filter(F.transform("ls", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    gone = F.concat(F.slice(places, F.lit(1), top), F.slice(places, F.col("m") - bottom + 1, bottom))
+    rows = rows.withColumn("gone", F.when(top + bottom > 0, gone))
+    kept = F.filter("ls", lambda x, i: ~F.array_contains("gone", i))
+    plain = F.array_join(F.when(top + bottom == 0, F.col("ls")).otherwise(kept), "\n")
     return rows.select(book, page, (top + bottom).cast("long").alias("stripped"), plain.alias("text"))
 
 

@@ -246,5 +246,18 @@ def q27_end_to_end_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bilingual_rows(translate(blocks, MODEL))
 
 
+def q28_layout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each book by what becomes of them, and its longest one."""
+    rows = tables.blocks(spark, sf_dir)
+    over = ~F.col("skipped") & (text.estimate_tokens(F.col("text")) > text.LITE_BUDGET)
+    return rows.groupBy("book").agg(F.count_if(~F.col("skipped")).alias("translatable"), F.count_if("skipped").alias("skipped"), F.count_if(over).alias("split_blocks"), F.max(F.length("text").cast("long")).alias("longest"))
+
+
+def q29_usage_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = q16_quota_usage(spark, sf_dir)
+    reset = F.date_format(F.timestamp_seconds("reset_at"), "HH:mm")
+    return used.select("day", "model", progress.usage_line(F.col("requests"), F.col("exhausted"), reset).alias("line"))
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 __all__ = ["ORACLE_SQL", "QUERIES"]

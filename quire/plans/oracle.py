@@ -363,4 +363,11 @@ ORACLE_SQL: dict[str, str] = {
         WITH turns AS (SELECT CAST(conv_id AS VARCHAR) AS book, CAST(0 AS BIGINT) AS d, turn AS b, {_collapse("text")} AS text FROM conversations)
         SELECT book, d, b, CAST(0 AS BIGINT) AS k, text FROM turns
         UNION ALL SELECT book, d, b, CAST(1 AS BIGINT), '[MY] ' || text FROM turns WHERE {_translatable("text")}""",
+    "q28_layout_stats": f"""
+        WITH {_BLOCKS}
+        SELECT book, count(*) FILTER ({_translatable("text")}) AS translatable, count(*) FILTER (NOT {_translatable("text")}) AS skipped,
+            count(*) FILTER ({_translatable("text")} AND {_tokens("text")} > {_LITE}) AS split_blocks, {_big("max(length(text))")} AS longest FROM blocks GROUP BY book""",
+    "q29_usage_line": """
+        SELECT day, model, CASE WHEN exhausted THEN 'quota exhausted for today — resets 08:00' ELSE CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' request' ELSE ' requests' END || ' on this model today · resets 08:00' END AS line FROM (
+            SELECT (CAST(floor(epoch(ts)) AS BIGINT) + 57600) // 86400 AS day, event_type AS model, count(*) AS n, bool_or(value > 90) AS exhausted FROM events GROUP BY 1, 2)""",
 }

@@ -161,3 +161,12 @@ def test_pending_requests(spark):
     assert got([(a, b, c, False) for a, b, c, _ in rows], hits["none"]) == (3, 0)
     assert got([(a, b, c, False) for a, b, c, _ in rows], hits["resumed"]) == (2, 1)
     assert got(rows, hits["cached"]) == (1, 2) and got(half, hits["cached"]) == (1, 2)
+
+
+def test_counters_and_usage_line(spark):
+    rows = [("k", 0, "done", 5, False), ("k", 0, "done", 0, True), ("k", 1, "failed", 7, False), ("k", 2, "done", 0, True)]
+    df = spark.createDataFrame(rows, "book string, batch_id long, outcome string, tokens long, hit boolean")
+    assert tuple(progress.counters(df).first()) == (3, 1, 5, 2)
+    cases = spark.createDataFrame([(0, False), (1, False), (2, None), (3, True), (None, None)], "n long, e boolean")
+    got = [r[0] for r in cases.select(progress.usage_line(F.col("n"), F.col("e"), F.lit("08:00"))).collect()]
+    assert got == ["daily quota resets 08:00", "1 request on this model today · resets 08:00", "2 requests on this model today · resets 08:00", "quota exhausted for today — resets 08:00", "daily quota resets 08:00"]
