@@ -12,10 +12,13 @@ symbol. The window's anchor is the longest symbol left in the last round that le
 ones that of smallest name); equal windows have the same anchor at the same place. Neighbouring windows on one anchor make one row
 with a hash of all the words they see. In Spark, then:
 
-1. Rows whose anchor name occurs once can hold no repeat and go (most of them).
-2. Rows whose whole context occurs again are repeats entirely.
-3. Where one name stands in different contexts (the edges of repeats), each distinct context is
-   opened into its windows, and these are compared by 128-bit hashes.
+1. Adjacent rows make stretches, cut where the names say so. Stretches whose words all occur again
+   are repeats entirely; one of each kind goes on, for the edges of others.
+2. Of the other stretches' rows those whose anchor name occurs once can hold no repeat and go (most of
+   them). Where all rows of a name have one context, all of them are repeats, entirely.
+3. Where one name stands in different contexts (the edges of repeats), rows whose whole context
+   occurs again are repeats entirely, and each distinct context is opened into its windows, which
+   are compared by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from quire.llm.common import SPACED, U64, chunks, drop, mix, owner, prefix, rang
 #: rounds a window of 35 words still holds several symbols of three words on average, among which neighbouring
 #: windows mostly choose the same one: about one row for 11 words.
 WINDOW, ROUNDS, RUN_ROUNDS = 35, 4, (1,)
+#: Anchor rows of a stretch at most.
+MOST = 64
 
 _RUN, _PAIR_A, _PAIR_B, _LEVEL, _SECOND = U64(0x8CB92BA72F3D8DD7), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA24BAED4963EE407), U64(0x2545F4914F6CDD1D)
 
@@ -145,15 +150,39 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 # ---------------------------------------------------------------- Spark
 
 
+def stretches(doc: np.ndarray, a: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """First row of each stretch of adjacent anchor rows: cut where the name says so, about every fourth row.
+
+    Rows beyond MOST end a stretch too: that depends on the place, and only costs a later look.
+    """
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (a[1:] != a[:-1] + count[:-1])
+    new |= mix(key ^ _RUN) & U64(3) == 0
+    head = np.flatnonzero(new)
+    at = np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
+    return np.flatnonzero(new | (at % MOST == 0))
+
+
 def _anchor_rows(window: int):
-    names = ["rid", "key", "ctx", "a", "n"]
+    names = ["rid", "key", "ctx", "a", "n", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             data, s, e, first, _ = words_of(b.column(1))
-            doc, a, n, key, ctx = anchors(word_hashes(data, s, e), first, window)
-            rid = np.asarray(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), pa.array(signed(key)), pa.array(signed(ctx)), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names)
+            h = word_hashes(data, s, e)
+            doc, a, n, key, ctx = anchors(h, first, window)
+            head = stretches(doc, a, n, key)
+            ends = np.append(head[1:], len(doc)) if len(head) else head
+            total = np.add.reduceat(n, head) if len(head) else n
+            begin = first[doc[head]] + a[head]
+            whole = mix(range_hash(prefix(h), begin, begin + total + window - 1) + total.astype(U64)) if len(head) else ctx
+            rid = np.asarray(b.column(0))[doc[head]]
+            small = lambda x: pa.array(x.astype(np.int32))
+            parts = pa.StructArray.from_arrays([pa.array(signed(key)), pa.array(signed(ctx)), small(a), small(n)], ["key", "ctx", "a", "n"])
+            lists = pa.ListArray.from_arrays(small(np.concatenate([[0], ends])), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(signed(key[head])), pa.array(signed(whole)), small(a[head]), small(total), lists], names)
 
     return run
 
@@ -182,20 +211,28 @@ def _window_rows(window: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans): for each row key of docs (rid, text) the word ranges [a, b) that repeated windows cover."""
-    rows = table(docs.mapInArrow(_anchor_rows(window), "rid long, key long, ctx long, a int, n int"), "anchors")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    some = table(rows.join(shared.hint("merge"), "key", "left_semi"), "shared")
-    drop(rows)
-    contexts = table(some.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a", "n")).alias("one")), "contexts")
-    whole = some.join(contexts.where("m > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    mixed = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    open_ = contexts.join(mixed, "key", "left_semi").groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.a", "one.n")).alias("ranges"))
+    part = "array<struct<key:bigint,ctx:bigint,a:int,n:int>>"
+    long = table(docs.mapInArrow(_anchor_rows(window), f"rid long, key long, ctx long, a int, n int, parts {part}"), "stretches")
+    again = long.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a")).alias("one")).where("m > 1")
+    again = table(again.select("key", "ctx", "one"), "again")
+    marked = table(long.join(again.hint("merge"), ["key", "ctx"], "left").select("rid", "a", "n", F.col("one").isNotNull().alias("twice"), F.when(F.col("one").isNull() | (F.col("one") == F.struct("rid", "a")), F.col("parts")).alias("parts")), "marked")
+    drop(long, again)
+    rows = marked.where("parts is not null").select("rid", F.inline("parts"))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("m > 1")
+    shared = table(keys.select("key", (F.col("low") == F.col("high")).alias("same")), "keys")
+    some = table(rows.join(shared.hint("merge"), "key"), "shared")
+    drop(shared)
+    mixed = some.where("not same")
+    contexts = table(mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a", "n")).alias("one")), "contexts")
+    met = mixed.join(contexts.where("m > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
+    whole = some.where("same").unionByName(met).select("rid", "a", "n").unionByName(marked.where("twice").select("rid", "a", "n"))
+    open_ = contexts.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.a", "one.n")).alias("ranges"))
     windows = table(docs.join(open_, "rid").mapInArrow(_window_rows(window), "w1 long, w2 long, rid long, a int").distinct(), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2")
-    edges = windows.join(again, ["w1", "w2"], "left_semi").select("rid", "a", (F.col("a") + window).alias("b"))
+    twice = table(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2"), "twice")
+    edges = windows.join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("rid", "a", (F.col("a") + window).alias("b"))
     both = whole.select("rid", "a", (F.col("a") + F.col("n") + (window - 1)).alias("b")).unionByName(edges)
     spans = table(both.distinct().groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    drop(some, contexts, windows)
+    drop(marked, some, contexts, windows, twice)
     return spans
 
 
