@@ -75,14 +75,6 @@ def drop(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished steps."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def row_key(doc_id: str, text: str):
     """A 64-bit key of a row: rows that repeat (same id, same text) share it and get the same results."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACED, U64, chunks, drop, mix, owner, prefix, range_hash, row_key, signed, table, text_bytes, word_hashes, word_spans
+from quire.llm.common import SPACED, U64, chunks, drop, mix, prefix, range_hash, row_key, table, text_bytes, word_hashes, word_spans
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 32, 4, 32
@@ -366,8 +366,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     columns are ignored; an empty table gives no rows.
     """
     m = table(_members(_source(docs, id_col, text_col), threshold), "members")
-    names = m.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = m.join(names, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("k"))
+    names = table(m.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "names")
+    out = m.join(names.hint("merge"), "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("k"))
     return out.drop("k")
 
 

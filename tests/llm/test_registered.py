@@ -94,3 +94,90 @@ def test_pipeline_rows(spark, sf):
     run = corpus_pipeline.run(spark, sf)
     total = lambda df: {r["doc_id"]: r["n"] for r in df.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
     assert total(run) == total(packed)
+
+
+def test_op5_registered(spark, sf, queries):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from quire.llm import counts
+
+    ref = Tokenizer(models.Unigram([("<unk>", 0.0), *counts.load_vocabulary(counts.default_vocabulary())], unk_id=0, byte_fallback=False))
+    ref.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    want = {i: len(ref.encode(t).ids) for i, t in _documents(spark, sf).items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in queries["op5_token_counts"](spark, sf).collect()} == want
+
+
+def test_op7_registered(spark, sf, queries):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in _documents(spark, sf).items()}
+    rows = queries["op7_packing"](spark, sf).collect()
+    taken, ends = {i: [] for i in ids}, {}
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(x) and zlib.crc32(x[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"]
+        taken[r["doc_id"]].append((r["start"], r["start"] + r["length"]))
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["offset"] + r["length"]))
+    for spans, size in [*((s, len(ids[i])) for i, s in taken.items()), *((s, max(e for _, e in s)) for s in ends.values())]:
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == size and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert all(s[-1][1] <= 1024 for s in ends.values())
+    total = sum(map(len, ids.values()))
+    assert len(ends) * 1024 - total < 1024 * spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
+
+
+def test_op8_registered(spark, sf, queries):
+    from tests.llm.test_text_operators import _jaccard_links
+
+    rows = sorted(_documents(spark, sf).items())
+    links = _jaccard_links(rows)
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, js in enumerate(links):
+            for j in js:
+                group[i] = group[j] = min(group[i], group[j])
+    want = {rows[i][0]: (rows[g][0], len(links[i])) for i, g in enumerate(group)}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries["op8_ngram_jaccard_join"](spark, sf).collect()} == want
+    assert any(n for _, n in want.values())
+
+
+def test_op9_registered(spark, sf, queries):
+    from tests.llm.test_text_operators import ITEM, _low
+
+    windows = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = ITEM.findall(_low(r["text"]))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(str(r["item_id"]))
+    docs = _documents(spark, sf)
+    for r in queries["op9_decontamination"](spark, sf).collect():
+        w = ITEM.findall(_low(docs.pop(r["doc_id"])))
+        hit, found = [False] * len(w), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    found |= windows[tuple(w[k : k + n])]
+                    hit[k : k + n] = [True] * n
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), sum(hit), len(found), digest, sum(hit) > 0)
+    assert not docs
+
+
+def test_queries_without_this_subpackage():
+    """The entry point works where the subpackage and the pipeline are not installed."""
+    import shutil
+    import subprocess
+    import sys
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    with tempfile.TemporaryDirectory() as d:
+        shutil.copytree(root / "quire", f"{d}/quire", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", d)
+        code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=d, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": d}, check=True)
