@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS, trim_ws
+from quire.functions.text import WS, once, trim_ws
 
 #: Words that would read as page numbers.
 NOT_PAGE_NUMBERS = ["di", "mi", "ci", "li", "mix", "lo", "yo", "jo", "ill", "oil", "oily", "lily", "joy", "lol", "loll", "jill", "yoyo"]
@@ -49,8 +49,8 @@ def is_page_number(line: Column) -> Column:
     low = F.lower(trim_ws(line))
     core = F.regexp_replace(low, "^(page |page, |p\\. |p )", "")
     compact = F.regexp_replace(core, f"{WS}+", "")
-    bare = F.regexp_replace(compact, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
-    return (F.char_length(compact) <= 10) & is_numberish(bare)
+    bare = lambda c: F.regexp_replace(c, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
+    return once(compact, lambda c: (F.char_length(c) <= 10) & once(bare(c), is_numberish))
 
 
 def header_key(line: Column) -> Column:

@@ -5,6 +5,8 @@ Whitespace and alphabetic mean the Unicode properties, as Java's regular express
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,19 +38,19 @@ def lines(text: Column) -> Column:
 
 
 def ascii_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    """ASCII code points; where bytes and code points are as many, all are."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.char_length(text)).otherwise(F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))).cast("long")
 
 
-def div(a: Column, b: int) -> Column:
-    """Integer division of non-negative numbers."""
-    return F.floor(a / b).cast("long")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the ASCII code points plus 10/23 of the others, each cut to a whole number."""
-    a = ascii_chars(text).cast("long")
-    other = F.length(text).cast("long") - a
-    return (F.floor(a / 4) + F.floor(other * 10 / 23)).cast("long")
+    sizes = F.struct(ascii_chars(text).alias("a"), F.char_length(text).cast("long").alias("n"))
+    return once(sizes, lambda s: (F.floor(s["a"] / 4) + F.floor((s["n"] - s["a"]) * 10 / 23)).cast("long"))
 
 
 #: Estimated input tokens a request takes, and requests a minute, by model family.

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from quire.functions.text import collapse_ws, is_translatable, lines
 
 
+#: A table smaller than this for each core may come in fewer splits than there are cores.
+SPREAD_BYTES = 16 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A small one (by its files' size) is dealt over all cores; a large one comes in enough splits as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
