@@ -213,9 +213,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans): for each row key of docs (rid, text) the word ranges [a, b) that repeated windows cover."""
     part = "array<struct<key:bigint,ctx:bigint,a:int,n:int>>"
     long = table(docs.mapInArrow(_anchor_rows(window), f"rid long, key long, ctx long, a int, n int, parts {part}"), "stretches")
-    again = long.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a")).alias("one")).where("m > 1")
+    again = long.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("rid", "a")).alias("one")).where("m > 1")
     again = table(again.select("key", "ctx", "one"), "again")
-    marked = table(long.join(again.hint("merge"), ["key", "ctx"], "left").select("rid", "a", "n", F.col("one").isNotNull().alias("twice"), F.when(F.col("one").isNull() | (F.col("one") == F.struct("rid", "a")), F.col("parts")).alias("parts")), "marked")
+    marked = table(long.join(again.hint("merge"), ["key", "ctx"], "left").select("rid", "a", "n", F.col("one").isNotNull().alias("twice"), F.when(F.col("one").isNull() | (F.col("one") == F.xxhash64("rid", "a")), F.col("parts")).alias("parts")), "marked")
     drop(long, again)
     rows = marked.where("parts is not null").select("rid", F.inline("parts"))
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("m > 1")
