@@ -204,7 +204,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield take()
 
 
-_TILE = ["bucket", "low", "high"]
+_TILE = ["bucket", "band", "low", "high"]
 
 
 def _open(b: pa.RecordBatch):
@@ -250,7 +250,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = lambda n: b.column(b.schema.get_field_index(n)).take(pa.array(row))
         limit, start = 32 << 20, 0
         sizes = np.cumsum(np.array([len(sets[i]) for i in row.tolist()], np.int64)) if len(row) else np.zeros(0, np.int64)
-        fields = [*_TILE, "band", "chunk"]
+        fields = [*_TILE, "chunk"]
         columns = [*[flat.field(f) for f in fields], pick("node"), pick("copies"), pick("sig")]
         while start < len(row):
             done = int(sizes[start - 1]) if start else 0
@@ -320,10 +320,10 @@ def _classes(src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     nodes = table(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid"), F.first("words").alias("words"), F.first("sig").alias("sig")), "nodes")
     width = 4 * ROWS
     bands = nodes.select("node", "words", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))).alias("band", "bucket"))
-    met = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("words").alias("w"), F.min("band").alias("band"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).where("m > 1")
-    met = met.groupBy("m", "x", "y").agg(F.min(F.struct("band", "bucket", "w")).alias("one")).select("one.bucket", F.greatest(F.ceil(F.col("m") / CHUNK_MEMBERS), F.ceil(F.col("one.w") / CHUNK_WORDS)).cast("int").alias("parts"))
+    met = bands.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("words").alias("w"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).where("m > 1")
+    met = met.groupBy("m", "x", "y").agg(F.min(F.struct("band", "bucket", "w")).alias("one")).select("one.bucket", "one.band", F.greatest(F.ceil(F.col("m") / CHUNK_MEMBERS), F.ceil(F.col("one.w") / CHUNK_WORDS)).cast("int").alias("parts"))
     met = table(met, "buckets")
-    members = bands.join(met.hint("merge"), "bucket").select("node", "bucket", "band", "parts", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("chunk"))
+    members = bands.join(met.hint("merge"), ["bucket", "band"]).select("node", "bucket", "band", "parts", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("chunk"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tiles = members.select("node", "bucket", "band", "chunk", other.alias("o")).select("node", "bucket", F.least("chunk", "o").alias("low"), F.greatest("chunk", "o").alias("high"), "band", "chunk")
     tiles = tiles.join(nodes.select("node", "copies", "sig", F.col("rid").alias("rep")), "node")
@@ -331,8 +331,8 @@ def _classes(src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     kept = "node binary, bucket long, low int, high int, band int, chunk int, copies long, sig binary, rep long"
     need = table(by_tile(tiles.select(*[f.split()[0] for f in kept.split(", ")])).mapInArrow(_needed(least), kept), "needed")
     drop(met)
-    where = need.groupBy(F.col("rep").alias("rid")).agg(F.first("node").alias("node"), F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.collect_list(F.struct(*_TILE, "band", "chunk")).alias("tiles"))
-    sets = ids.select("rid", "text").join(where, "rid").mapInArrow(_set_rows, "bucket long, low int, high int, band int, chunk int, node binary, copies long, sig binary, shingles binary")
+    where = need.groupBy(F.col("rep").alias("rid")).agg(F.first("node").alias("node"), F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.collect_list(F.struct(*_TILE, "chunk")).alias("tiles"))
+    sets = ids.select("rid", "text").join(where, "rid").mapInArrow(_set_rows, "bucket long, band int, low int, high int, chunk int, node binary, copies long, sig binary, shingles binary")
     found = table(by_tile(sets).mapInArrow(_linked(least, threshold), "node binary, links long, texts long, peer binary"), "found")
     drop(need)
     roots = components(found.select(F.col("node").alias("u"), F.col("peer").alias("v")))

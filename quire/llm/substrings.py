@@ -200,6 +200,8 @@ def _window_rows(window: int):
             a, n = np.asarray(flat.field("a")).astype(np.int64), np.asarray(flat.field("n")).astype(np.int64)
             doc = np.repeat(np.repeat(np.arange(b.num_rows), count), n)
             pos = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            fits = pos + window <= first[doc + 1] - first[doc]  # rows of one key differ only by a collision
+            doc, pos = doc[fits], pos[fits]
             at = first[doc] + pos
             w1 = mix(range_hash(prefix(h), at, at + window))
             w2 = mix(range_hash(prefix(mix(h + _SECOND)), at, at + window))
@@ -243,9 +245,9 @@ def _covered(spans: pa.ListArray, first: np.ndarray, total: int) -> np.ndarray:
     count = np.diff(offsets)
     flat = spans.flatten()
     if len(flat):
-        base = np.repeat(first[:-1], count)
-        np.add.at(edge, base + np.asarray(flat.field("a")), 1)
-        np.add.at(edge, base + np.asarray(flat.field("b")), -1)
+        base, end = np.repeat(first[:-1], count), np.repeat(first[1:], count)
+        np.add.at(edge, np.minimum(base + np.asarray(flat.field("a")), end), 1)
+        np.add.at(edge, np.minimum(base + np.asarray(flat.field("b")), end), -1)
     return np.cumsum(edge)[:-1] > 0
 
 
