@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_table, chunks, owner, text_bytes, word_hashes, word_spans
+from quire.llm.common import byte_table, chunks, owner, table, text_bytes, word_hashes, word_spans
 
-#: Words of a window; text bytes a shard; characters of benchmark text a block; suffixes from sample to sample.
-WINDOW, SHARD_BYTES, BLOCK_CHARS, SAMPLE = 10, 3 << 20, 32 << 20, 32
+#: Words of a window; text bytes a shard; bytes of benchmark text a block; suffixes from sample to sample.
+WINDOW, SHARD_BYTES, BLOCK_CHARS, SAMPLE = 10, 3 << 20, 2 << 20, 32
+#: Passes for blocks that one stage chains; a longer benchmark's are cut by a table.
+CHAINED = 3
 
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and anything beyond ASCII.
 _WORD = byte_table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -234,7 +236,7 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's rows in blocks of about `limit` characters; only one block is held at a time."""
+    """The benchmark's rows in blocks of about `limit` bytes, one at least; only one block is held at a time."""
     src = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     n = -(-total // limit) or 1
@@ -248,14 +250,19 @@ _FOUND = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 def _passes(docs: DataFrame, keep: list[str], benchmark: DataFrame, finish: str, window: int, shard_bytes: int) -> DataFrame:
     """Add n_words, spans (of words) and items block by block; `finish` drops the text, or cuts the spans out of it."""
-    blocks = [phrases(b, window) for b in blocks_of(benchmark)]
     df = docs.select(*keep, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    blocks = blocks_of(benchmark)
+    block, k = next(blocks), 0
+    while block is not None:
+        after = next(blocks, None)
+        last = after is None
         fields = [f for f in df.schema.fields if f.name != "text" or not last or finish == "cut"]
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
+        shipped = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         df = df.mapInArrow(_pass(shipped, last, finish, shard_bytes, [f.name for f in fields]), schema)
+        block, k = after, k + 1
+        if not last and k % CHAINED == 0:
+            df = table(df, "decontaminated")
     return df
 
 
