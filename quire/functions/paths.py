@@ -25,7 +25,7 @@ def _decode(names: pd.Series) -> pd.Series:
 
 
 def percent_decode(name: Column) -> Column:
-    """Well-formed escapes are decoded in the JVM's own function; odd names go through Python."""
+    """Spark's own function reads a plus sign as a space and fails on bad escapes, so this goes through Python in Arrow batches."""
     return _decode(name)
 
 
