@@ -108,8 +108,8 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
 def format_paths(messages: DataFrame, on: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """(tree, leaf, rank, formatted, loss): one string a path, and the spans under the loss mask.
 
-    loss is an array of (start, length) in code points of formatted, ordered, one for each text of
-    a loss role.
+    loss is an array of (start, length, turn, at), ordered, one for each text of a loss role: start and
+    length in code points of formatted, and the same place as at in the turn of that number.
     """
     m = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = on.join(m, F.col("tree").eqNullSafe(F.col("t")) & F.col("node").eqNullSafe(F.col("n")))
@@ -118,18 +118,22 @@ def format_paths(messages: DataFrame, on: DataFrame, loss_roles: tuple[str, ...]
     rows = rows.select("tree", "leaf", "rank", (-F.col("dist")).alias("k"), head.alias("head"), text.alias("body"), tail.alias("tail"), F.col("role").isin(*loss_roles).alias("is_loss"))
     size = lambda c: F.length(c).cast("long")
     before = Window.partitionBy("tree", "leaf", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum(size("head") + size("body") + size("tail")).over(before), F.lit(0)))
-    span = F.when(F.col("is_loss"), F.struct((F.col("at") + size("head")).alias("start"), size("body").alias("length")))
+    rows = rows.withColumns({"at": F.coalesce(F.sum(size("head") + size("body") + size("tail")).over(before), F.lit(0)), "turn": F.row_number().over(Window.partitionBy("tree", "leaf", "rank").orderBy("k")) - 1})
+    span = F.when(F.col("is_loss"), F.struct((F.col("at") + size("head")).alias("start"), size("body").alias("length"), "turn", F.length("head").alias("at")))
     turn = F.struct("k", F.concat("head", "body", "tail").alias("turn"))
     done = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.array_sort(F.collect_list(span)).alias("loss"))
     return done.select("tree", "leaf", "rank", F.array_join(F.col("turns.turn"), "").alias("formatted"), "loss")
 
 
+def _pieces(formatted: Column) -> Column:
+    """A string for each turn, without its end; the last is empty."""
+    return F.split(formatted, r"\Q" + CLOSE + r"\E")
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation, as array<struct<role, text>>."""
-    pieces = F.filter(F.split(formatted, r"\Q" + CLOSE + r"\E"), lambda p: p != "")
     return F.transform(
-        pieces,
+        F.filter(_pieces(formatted), lambda p: p != ""),
         lambda p: F.struct(
             unescape(F.substring_index(p.substr(F.lit(len(OPEN) + 1), F.length(p)), NAMED[0], 1)).alias("role"),
             unescape(_between(p)).alias("text"),
@@ -145,8 +149,9 @@ def _between(piece: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(formatted.substr(s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between; each turn is read once, however long the whole."""
+    text = lambda pieces: F.transform(loss, lambda s: unescape(F.get(pieces, s["turn"]).substr(s["at"] + 1, s["length"].cast("int"))))
+    return F.array_join(F.get(F.transform(F.array(_pieces(formatted)), text), F.lit(0)), "")
 
 
 def format_trees(messages: DataFrame, top: int | None = 1, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
