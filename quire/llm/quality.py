@@ -23,8 +23,8 @@ from quire.llm.common import chunks, text_bytes
 
 #: Bytes a filter sees, filters, embedding size, positions a block, blocks a chunk, blocks from chunk to chunk.
 WIDTH, FILTERS, EMBED, BLOCK, CHUNK, HOP = 8, 16, 8, 64, 4, 2
-#: Training sample: rows of each label, and the longest text (in bytes) that it takes.
-MAX_ROWS, MAX_TEXT = 1200, 1 << 14
+#: Training sample: rows of each label, bytes of each text, and the windows in which a longer text gives them.
+MAX_ROWS, MAX_TEXT, WINDOWS = 1200, 1 << 14, 16
 EPOCHS, BATCH, STEP = 14, 24, 0.01
 
 SEGMENT = 1 << 17
@@ -101,8 +101,12 @@ def score_bytes(data: np.ndarray, off: np.ndarray, model: Model, tables: list[np
 # ---------------------------------------------------------------- training
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Adam on the logistic loss with both classes weighted alike: 0.5 is where they are equally likely."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, windows: np.ndarray | None = None) -> Model:
+    """Adam on the logistic loss with both classes weighted alike: 0.5 is where they are equally likely.
+
+    windows: for each text, the length of the windows of which it consists, 0 where it is whole.
+    """
+    windows = np.zeros(len(texts), np.int64) if windows is None else windows
     rng = np.random.default_rng(seed)
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBED)),
@@ -120,7 +124,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         rng.shuffle(order)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            grads = _gradients(p, [texts[i] for i in rows], labels[rows], weight[rows])
+            grads = _gradients(p, [texts[i] for i in rows], labels[rows], weight[rows], windows[rows])
             step += 1
             rate = STEP * (0.5 if epoch > epochs * 0.6 else 1) * (0.3 if epoch > epochs * 0.85 else 1)
             for k, g in grads.items():
@@ -131,7 +135,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     return Model(p["embed"], p["filters"], p["bias"], p["weights"], float(p["shift"][0]))
 
 
-def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict:
+def _seams(starts: np.ndarray, off: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Positions whose filter would reach over the end of a window, in texts laid out from starts."""
+    ends = [starts[i] + np.arange(windows[i], off[i + 1] - off[i] + 1, windows[i]) for i in np.flatnonzero(windows)]
+    if not ends:
+        return np.zeros(0, np.int64)
+    return np.unique((np.concatenate(ends)[:, None] - np.arange(1, WIDTH)).clip(0))
+
+
+def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray, windows: np.ndarray) -> dict:
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     x, blocks, dead = layout(data, off)
@@ -141,6 +153,7 @@ def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -
     for j in range(1, WIDTH):
         conv += np.take(per_byte[j], x[j : j + m], axis=0)
     conv[dead] = -np.inf
+    conv[_seams(np.cumsum(blocks * BLOCK) - blocks * BLOCK, off, windows)] = -np.inf
     cube = conv.reshape(-1, BLOCK, FILTERS)
     where = cube.argmax(axis=1)  # block x filter
     best = np.take_along_axis(cube, where[:, None, :], 1)[:, 0, :]
@@ -183,25 +196,39 @@ def held_out(doc_id: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> Model | None:
-    """Fit on at most max_rows rows of each label that are not held out, of texts up to max_text bytes.
+    """Fit on at most max_rows rows of each label that have a text and are not held out.
 
     The rows of smallest id hash are taken, so the sample is the same each time; ids with several
-    labels take the lowest. Texts beyond max_text serve no training (they are scored whole). None
-    where one of the labels has no rows.
+    labels take the lowest. Of a text over max_text bytes, that many take part: WINDOWS windows, one
+    at a place chosen by hash in each equal part of the text. Labels without a row in docs take no
+    place in the sample. None where one of the labels has no rows.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    marks = marks.where(~held_out("doc_id"))
+    marks = marks.where(~held_out("doc_id")).join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
     picked = None
     for y in (0, 1):
         part = marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = part if picked is None else picked.unionByName(part)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = src.join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= max_text).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    long, window = F.octet_length("text") > max_text, max(1, max_text // WINDOWS)
+    part = F.when(long, _windows("doc_id", "text", window)).otherwise(F.col("text"))
+    rows = src.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(part.alias("text"), long.alias("long"))).alias("part")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    return fit([r["text"].encode() for r in rows], y)
+    return fit([bytes(r["part"]["text"]) for r in rows], y, windows=np.array([window if r["part"]["long"] else 0 for r in rows]))
+
+
+def _windows(doc_id: str, text: str, window: int) -> Column:
+    """WINDOWS windows of the bytes, each within its own equal part of the text."""
+    n = F.octet_length(text).cast("long")
+    taken = []
+    for k in range(WINDOWS):
+        start, end = F.floor(n * k / WINDOWS), F.floor(n * (k + 1) / WINDOWS)
+        room = F.greatest(end - start - window + 1, F.lit(1))
+        taken.append(F.col(text).substr((start + F.pmod(F.xxhash64(F.col(doc_id), F.lit(k)), room) + 1).cast("int"), F.lit(window)))
+    return F.concat(*taken)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -378,6 +378,33 @@ def test_quality_learns_and_scores_whole_texts(spark):
     assert quality.train(docs, labels.limit(0)) is None and quality.score(docs, None).first()["score"] == 0.5
 
 
+def test_quality_learns_from_long_texts(spark):
+    """All labelled texts beyond MAX_TEXT, and more labels without a row than the sample has places."""
+    from quire.llm import quality
+
+    texts = [(i, ("calm plain words here " if i % 2 else "BUY now $$$ click!! ") * 1200) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert min(len(t) for _, t in texts) > quality.MAX_TEXT
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20000)], "doc_id long, quality int")
+    model = quality.train(docs, labels, max_rows=40)
+    assert model is not None
+    out = quality.score(docs, model).collect()
+    assert len(out) == 240 and all(r["predicted"] == r["doc_id"] % 2 for r in out)
+    assert quality.keep(docs, model).count() == 120
+
+
+def test_quality_windows_spread_over_the_text(spark):
+    from quire.llm import quality
+
+    parts, window = 16, 64
+    text = "".join(chr(ord("a") + k) * 1000 for k in range(parts))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as text")
+    got = [bytes(r[0]).decode() for r in df.select(quality._windows("doc_id", "text", window)).collect()]
+    assert got == ["".join(chr(ord("a") + k) * window for k in range(parts))] * 2
+    off = np.array([0, 100, 356])
+    assert quality._seams(np.array([0, 128]), off, np.array([0, 128])).tolist() == [*range(249, 256), *range(377, 384)]
+
+
 def test_quality_segments_change_nothing(monkeypatch):
     from quire.llm import quality
 
