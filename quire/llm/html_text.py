@@ -21,7 +21,7 @@ from quire.llm.common import chunks
 
 # ---------------------------------------------------------------- fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 NEVER_SHOWN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist area param source track".split())
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table ul xmp caption tr td th thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu table figure xmp".split())
@@ -39,8 +39,9 @@ IMPLIED_ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "body": ({"head"}, {"html"}),
 }
+#: What may stand in head; anything else, or text, ends it and opens the body.
+HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: Where the search for an element to close by </p> and the like stops.
 BARRIERS = frozenset("table td th caption html template button object".split())
 MAX_DEPTH, MAX_PAD, MAX_SPAN = 512, 60, 100
@@ -51,6 +52,7 @@ _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?([.#][\w-]+)?\Z")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
+_BLANK = re.compile(r"[ \t\n\f\r]*\Z")
 
 
 class Node:
@@ -71,7 +73,24 @@ def parse(text: str) -> tuple[Node, str]:
     root = Node("html")
     stack, open_ = [root], {"html": 1}
     styles: list[str] = []
-    pos, size = 0, len(text)
+    pos, size, headless = 0, len(text), False
+
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        open_[node.tag] = open_.get(node.tag, 0) + 1
+
+    def content(s: str) -> None:
+        nonlocal headless
+        s = html.unescape(s)
+        if not headless and not _BLANK.match(s):
+            headless = True
+            if stack[-1].tag == "head":
+                pop()
+                push(Node("body"))
+            elif open_.get("head"):  # in a template or the like
+                headless = False
+        stack[-1].children.append(s)
 
     def pop() -> None:
         open_[stack.pop().tag] -= 1
@@ -92,14 +111,24 @@ def parse(text: str) -> tuple[Node, str]:
     while pos < size:
         m = _TOKEN.search(text, pos)
         if m is None:
-            stack[-1].children.append(html.unescape(text[pos:]))
+            content(text[pos:])
             break
         if m.start() > pos:
-            stack[-1].children.append(html.unescape(text[pos : m.start()]))
+            content(text[pos : m.start()])
         pos = m.end()
         end, start = m[1], m[2]
         if start:
             tag = start.lower()
+            if tag == "head":
+                if not headless and not open_.get("head"):
+                    push(Node(tag, m[3]))
+                continue
+            if not headless and tag not in HEAD and tag != "html" and (stack[-1].tag == "head" or not open_.get("head")):
+                headless = True
+                if stack[-1].tag == "head":
+                    pop()
+                    if tag != "body":
+                        push(Node("body"))
             if tag in ENDS_P:
                 close({"p"}, BARRIERS)
             if tag in IMPLIED_ENDS:
@@ -107,10 +136,7 @@ def parse(text: str) -> tuple[Node, str]:
             if tag in ("html", "body") and open_.get(tag):
                 continue
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < MAX_DEPTH:
-                row = Node("tr")
-                stack[-1].children.append(row)
-                stack.append(row)
-                open_["tr"] = open_.get("tr", 0) + 1
+                push(Node("tr"))
             node = Node(tag, m[3])
             stack[-1].children.append(node)
             if tag in VOID:
@@ -130,12 +156,22 @@ def parse(text: str) -> tuple[Node, str]:
                 open_[tag] = open_.get(tag, 0) + 1
         elif end:
             tag = end.lower()
-            if tag == "br":
+            if tag == "head":
+                if open_.get("head"):
+                    close({"head"}, frozenset())
+                    headless = True
+            elif tag == "br":
+                if stack[-1].tag == "head":
+                    pop()
+                    push(Node("body"))
+                    headless = True
                 stack[-1].children.append(Node("br"))
             elif tag in ("html", "body"):
                 continue
             elif tag in BLOCKS:
                 close({tag}, {"table"} if tag in ("td", "th", "tr", "caption", "thead", "tbody", "tfoot") else BARRIERS if tag != "table" else {"html"})
+            elif tag in ("template", "object"):
+                close({tag}, BARRIERS - {tag} if tag == "object" else frozenset())
             elif open_.get(tag):
                 close({tag}, BLOCKS)
     return root, "\n".join(styles)

@@ -43,6 +43,23 @@ def test_html_rendering(source, want):
     assert visible_text(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<html><head><title>T</title><h1>A</h1><p>text", "A\n\ntext"),
+        ("<head><meta charset=x><link href=y>plain text<p>more", "plain text\n\nmore"),
+        ("<html><head>\n<script>var a</script>\n<noscript><img></noscript><template><p>no</template><div>a</div><body>b", "a\nb"),
+        ("<head><title>T</title></head><p>a<head><p>b", "a\n\nb"),
+        ("<title>T</title><p>a<head><style>p{}</style> b", "a b"),
+        ("<head></br>a", "a"),
+    ],
+)
+def test_html_head_ends_where_content_begins(source, want):
+    from quire.llm.html_text import visible_text
+
+    assert visible_text(source).strip() == want
+
+
 def test_html_odd_pages(spark):
     from quire.llm.html_text import extract, visible_text
 
