@@ -46,8 +46,11 @@ HEAD = frozenset("title meta link base basefont bgsound style script noscript no
 BARRIERS = frozenset("table td th caption html template button object".split())
 MAX_DEPTH, MAX_PAD, MAX_SPAN = 512, 60, 100
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_WS = " \\t\\n\\f\\r"
+#: The attributes of a tag: a quote opens a value only behind "=".
+_ATTRS = rf"(?:[{_WS}/]++|[^{_WS}/>][^{_WS}/>=]*+(?:[{_WS}]*+=[{_WS}]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^{_WS}>\"'][^{_WS}>]*+|(?=>)|\Z))?+)*+"
+_TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^{_WS}/>]*+){_ATTRS}(?:>|\Z)|<([A-Za-z][^{_WS}/>]*+)({_ATTRS})(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"([^{_WS}/>][^{_WS}/>=]*+)(?:[{_WS}]*+=[{_WS}]*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^{_WS}>\"'][^{_WS}>]*+)?))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"([A-Za-z][\w-]*)?([.#][\w-]+)?\Z")

@@ -60,6 +60,31 @@ def test_html_head_ends_where_content_begins(source, want):
     assert visible_text(source).strip() == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<a href=/x title=don't>Hello</a><p>more", "Hello\n\nmore"),
+        ("<table><tr><td width=5\">Hello</td><td class=\"x\">b</table>", "Hello | b"),
+        ("<a 'x>one</a> <b\">two</b>", "one two"),
+        ("<a title = \"x > y\" alt='>' hidden=>no</a>yes", "yes"),
+        ("<a title='a'class=\"b>c\"id=d>t</a>", "t"),
+        ("<p =x='>'>t</p title='>'>u", "t\n\nu"),
+        ("<i " + "a='" * 50_000 + ">end", "end"),
+        ("<i " + "a b= " * 50_000 + ">end", "end"),
+    ],
+)
+def test_html_quotes_open_values_only(source, want):
+    from quire.llm.html_text import visible_text
+
+    assert visible_text(source) == want
+
+
+def test_html_attributes_are_read_as_tokenized():
+    from quire.llm.html_text import Node
+
+    assert Node("a", " href=/x title=don't a=\"b>c\"d e = 'f' g= h/ =i=j style=x/").attributes() == {"href": "/x", "title": "don't", "a": "b>c", "d": "", "e": "f", "g": "h/", "=i": "j", "style": "x/"}
+
+
 def test_html_odd_pages(spark):
     from quire.llm.html_text import extract, visible_text
 
