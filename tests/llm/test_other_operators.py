@@ -85,6 +85,39 @@ def test_html_attributes_are_read_as_tokenized():
     assert Node("a", " href=/x title=don't a=\"b>c\"d e = 'f' g= h/ =i=j style=x/").attributes() == {"href": "/x", "title": "don't", "a": "b>c", "d": "", "e": "f", "g": "h/", "=i": "j", "style": "x/"}
 
 
+HIDE = "<style>%s</style><p class='nav x' id=i>a</p><div class=y><b>b</b></div>"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (HIDE % "@media print{.nav,.no-print{display:none}}", "a\n\nb"),
+        (HIDE % "@media (max-width: 600px){.nav{display:none} .y{display:none}}", "a\n\nb"),
+        (HIDE % "@media screen and (min-width:600px){.nav{display:none}}", "b"),
+        (HIDE % "@media not print{.nav{display:none}} @media (width<40em){.y{display:none}} @media(100px <= width){b{color:red}}", "b"),
+        (HIDE % "@supports (display:grid){@media all{.nav{display:none}}} @font-face{src:url('}')} .y{content:'}'}", "b"),
+        (HIDE % ".nav{display:none} .x{display:block}", "a\n\nb"),
+        (HIDE % ".x{display:block} .nav{display:none}", "b"),
+        (HIDE % "#i{display:block} .nav{display:none}", "a\n\nb"),
+        (HIDE % "#i{display:block} .nav{display:none!important}", "b"),
+        (HIDE % "p.nav.x{display:block} p{display:none} .y > b{display:none} .z b{display:block}", "a"),
+        (HIDE % "div p{display:none} html .y b{visibility:hidden} p:hover{display:none} [class~=nav]:not(p){display:none}", "a"),
+        (HIDE % ".nav{x-display:none; content:'display:none'} .y{display:nonsense}", "a\n\nb"),
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style>p{display:none}</style><p style='display:block'>a<p>b<p hidden style='display:flex'>c", "a\n\nc"),
+        ("<div style='visibility:hidden'>no<p>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<style>.h{visibility:hidden}.s{visibility:visible}</style><table><tr class=h><td>no<td class=s>yes</table><ol class=h><li>a<li class=s>b</ol>", "     | yes\n\n2. b"),
+        ("E <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> f", "E x= 1 2 f"),
+        ("a<svg width=1><title>no</title><defs><text>no</text></defs>no<path d='x'/><g><text x=1>one<tspan>two</tspan></text><text visibility=hidden>no</text></g></svg>b", "a onetwo b"),
+        ("<svg><path d=M/><a href=/x/><text>t</text></a><path d='M'/><p>after", "t\n\nafter"),
+    ],
+)
+def test_html_visibility(source, want):
+    from quire.llm.html_text import visible_text
+
+    assert visible_text(source).split() == want.split() and visible_text(source).strip("\n").count("\n") == want.count("\n")
+
+
 def test_html_odd_pages(spark):
     from quire.llm.html_text import extract, visible_text
 
