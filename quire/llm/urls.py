@@ -1,24 +1,29 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
 Features are SQL expressions. The trees are fitted on the driver over a bounded sample of labelled
-URLs and then written out as SQL CASE expressions, so scoring is one projection in the JVM: no
-Python, no shuffle.
+URLs and then written out as SQL CASE expressions, so scoring is one projection in the JVM, without
+Python. The rate of bad URLs of each host suffix is counted over all labelled URLs; a few rates are
+written into the projection, more are joined as a table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import drop, table
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Default parameters: labelled URLs that training reads, suffixes with statistics of their own, trees, their depth, bins a feature, shrinkage.
-MAX_TRAIN, MAX_SUFFIXES, TREES, DEPTH, BINS, RATE = 20_000, 100, 24, 3, 16, 0.3
-#: More rules than this are joined, not written into an expression.
-MAX_INLINE_RULES = 200
+#: Default parameters: different labelled URLs that the trees are fitted on, trees, their depth, bins a feature, shrinkage.
+MAX_TRAIN, TREES, DEPTH, BINS, RATE = 20_000, 24, 3, 16, 0.3
+#: A suffix's rate counts as many URLs of the overall rate besides its own; for a training row it leaves out the row's fold.
+SMOOTH, FOLDS = 10, 5
+#: More rules, or suffixes, than this are joined, not written into an expression.
+MAX_INLINE_RULES, MAX_INLINE_SUFFIXES = 200, 100
 
 
 # ---------------------------------------------------------------- parts of a URL
@@ -137,12 +142,17 @@ def features(url: Column, host: Column, path: Column, suffix_rate: Column) -> di
 
 @dataclass
 class Model:
-    """bias, and trees as nested (feature, threshold, left if <=, right) with numbers as leaves; suffix -> smoothed rate."""
+    """bias, and trees as nested (feature, threshold, left if <=, right) with numbers as leaves; suffix -> smoothed rate.
+
+    Where there are more than MAX_INLINE_SUFFIXES suffixes, all of them are in rates (suffix,
+    suffix_rate) instead.
+    """
 
     bias: float
     trees: list
     suffixes: dict[str, float]
     prior: float
+    rates: DataFrame | None = field(default=None, compare=False)
 
     def margin(self, columns: dict[str, Column]) -> Column:
         def sql(node) -> Column:
@@ -159,15 +169,28 @@ class Model:
     def suffix_rate(self, host: Column) -> Column:
         if not self.suffixes:
             return F.lit(self.prior)
-        table = F.create_map(*[F.lit(x) for pair in sorted(self.suffixes.items()) for x in pair])
-        return F.coalesce(F.element_at(table, suffix_of(host)), F.lit(self.prior))
+        rates = F.create_map(*[F.lit(x) for pair in sorted(self.suffixes.items()) for x in pair])
+        return F.coalesce(F.element_at(rates, suffix_of(host)), F.lit(self.prior))
 
+    def with_rate(self, df: DataFrame) -> DataFrame:
+        """df with suffix_rate: that of its host's suffix, the prior where no label tells."""
+        if self.rates is None:
+            return df.withColumn("suffix_rate", self.suffix_rate(F.col("host")))
+        return df.withColumn("suffix", suffix_of(F.col("host"))).join(self.rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(self.prior))).drop("suffix")
 
-def boost(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, ridge: float = 5.0, least: int = 20) -> tuple[float, list]:
-    """Newton boosting of the logistic loss over quantile bins."""
-    p = (y.sum() + 1) / (len(y) + 2)
+
+def boost(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, ridge: float = 5.0, least: int = 20, weight: np.ndarray | None = None) -> tuple[float, list]:
+    """Newton boosting of the logistic loss over quantile bins; a row counts weight times."""
+    weight = np.ones(len(y)) if weight is None else weight
+    p = ((y * weight).sum() + 1) / (weight.sum() + 2)
     bias = float(np.log(p / (1 - p)))
-    edges = [np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins)) for j in range(x.shape[1])]
+
+    def quantiles(v: np.ndarray) -> np.ndarray:
+        order = np.argsort(v, kind="stable")
+        total = np.cumsum(weight[order])
+        return np.unique(v[order][np.searchsorted(total, np.arange(1, bins) / bins * total[-1])])
+
+    edges = [quantiles(x[:, j]) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
     margin = np.full(len(y), bias)
 
@@ -181,9 +204,9 @@ def boost(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, de
                 b = binned[rows, j]
                 left_g = np.cumsum(np.bincount(b, g[rows], len(e) + 1))[:-1]
                 left_h = np.cumsum(np.bincount(b, h[rows], len(e) + 1))[:-1]
-                left_n = np.cumsum(np.bincount(b, minlength=len(e) + 1))[:-1]
+                left_n = np.cumsum(np.bincount(b, weight[rows], len(e) + 1))[:-1]
                 gain = left_g**2 / (left_h + ridge) + (sum_g - left_g) ** 2 / (sum_h - left_h + ridge) - sum_g**2 / (sum_h + ridge)
-                gain[(left_n < least) | (len(rows) - left_n < least)] = 0
+                gain[(left_n < least) | (weight[rows].sum() - left_n < least)] = 0
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
                     best = (float(gain[k]), (j, k))
@@ -198,31 +221,43 @@ def boost(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, de
     out = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        out.append(grow(np.arange(len(y)), p - y, p * (1 - p), depth))
+        out.append(grow(np.arange(len(y)), (p - y) * weight, p * (1 - p) * weight, depth))
     return bias, out
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max_rows: int = MAX_TRAIN) -> Model:
-    """Fit on at most max_rows labelled URLs (label 1: to be blocked), those of smallest content hash, so the sample is the same each time."""
+    """Suffix rates over all labelled URLs (label 1: to be blocked), trees over at most max_rows different ones.
+
+    The different (URL, label) of smallest content hash are taken, so the sample is the same each
+    time; one that occurs often counts as often. In training, a row's suffix rate is that of the
+    URLs in other folds, so it doesn't tell the row's own label.
+    """
     src = labelled.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(label_col).cast("double").alias("label")).where("label is not null")
-    src = src.orderBy(F.xxhash64("url", "label"), "url", "label").limit(max_rows)
-    src = src.withColumns({"host": host_of("url"), "path": path_of("url")})
-    cols = features(F.col("url"), F.col("host"), F.col("path"), F.lit(0.0))
-    rows = src.select("label", suffix_of(F.col("host")).alias("suffix"), *[c.alias(k) for k, c in cols.items()]).collect()
-    names = list(cols)
-    if not rows:
+    urls = table(src.groupBy("url", "label").agg(F.count("*").alias("w")).withColumns({"host": host_of("url"), "path": path_of("url")}).withColumns({"suffix": suffix_of(F.col("host")), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS))}), "urls")
+    folds = table(urls.groupBy("suffix", "fold").agg(F.sum("w").alias("n_fold"), F.sum(F.col("w") * F.col("label")).alias("bad_fold")), "url-suffixes")
+    n, bad = folds.agg(F.sum("n_fold"), F.sum("bad_fold")).first()
+    if not n:
+        drop(urls, folds)
         return Model(-20.0, [], {}, 0.0)
-    y = np.array([r["label"] for r in rows])
-    x = np.array([[r[k] for k in names] for r in rows], float)
-    prior = float((y.sum() + 1) / (len(y) + 2))
-    ends = np.array([r["suffix"] for r in rows])
-    kinds, at, count = np.unique(ends, return_inverse=True, return_counts=True)
-    rates = (np.bincount(at, y) + 10 * prior) / (count + 10)
-    top = np.argsort(-count, kind="stable")[:MAX_SUFFIXES]
-    suffixes = {str(kinds[i]): float(rates[i]) for i in top}
-    x[:, names.index("suffix_rate")] = [suffixes.get(str(e), prior) for e in ends]
-    bias, trees = boost(x, y, names)
-    return Model(bias, trees, suffixes, prior)
+    prior = float((bad + 1) / (n + 2))
+    totals = folds.groupBy("suffix").agg(F.sum("n_fold").alias("n"), F.sum("bad_fold").alias("bad"))
+    rate = lambda bad, n: (bad + SMOOTH * prior) / (n + SMOOTH)
+    rates = table(totals.select("suffix", rate(F.col("bad"), F.col("n")).alias("suffix_rate")), "url-rates")
+    few = rates.limit(MAX_INLINE_SUFFIXES + 1).collect()
+
+    sample = urls.orderBy(F.xxhash64("url", "label"), "url", "label").limit(max_rows)
+    sample = sample.join(totals, "suffix").join(folds, ["suffix", "fold"])
+    cols = features(F.col("url"), F.col("host"), F.col("path"), rate(F.col("bad") - F.col("bad_fold"), F.col("n") - F.col("n_fold")))
+    rows = sample.select(F.xxhash64("url", "label").alias("at"), "url", "label", "w", *[c.alias(f"f_{k}") for k, c in cols.items()]).orderBy("at", "url", "label").drop("at", "url").collect()
+    names = list(cols)
+    y, w = np.array([r["label"] for r in rows]), np.array([r["w"] for r in rows], float)
+    x = np.array([[r[f"f_{k}"] for k in names] for r in rows], float)
+    bias, trees = boost(x, y, names, weight=w)
+    drop(urls, folds)
+    if len(few) > MAX_INLINE_SUFFIXES:
+        return Model(bias, trees, {}, prior, rates)
+    drop(rates)
+    return Model(bias, trees, {r["suffix"]: r["suffix_rate"] for r in few}, prior)
 
 
 def judge(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", rules: list[Rule] = DEFAULT_RULES, threshold: float = 0.5) -> DataFrame:
@@ -236,7 +271,8 @@ def judge(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str
     df = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     df = df.withColumns({"host": host_of("url"), "path": path_of("url")})
     df = _inline(df, rules) if len(rules) <= MAX_INLINE_RULES else _joined(df, rules)
-    cols = features(F.col("url"), F.col("host"), F.col("path"), model.suffix_rate(F.col("host")))
+    df = model.with_rate(df)
+    cols = features(F.col("url"), F.col("host"), F.col("path"), F.col("suffix_rate"))
     df = df.select("page_id", "host", "path", "rule", "rule_verdict", *[c.alias(f"f_{k}") for k, c in cols.items()])
     score = 1 / (1 + F.exp(-model.margin({k: F.col(f"f_{k}") for k in cols})))
     df = df.select("page_id", "host", "path", "rule", "rule_verdict", score.alias("score"))

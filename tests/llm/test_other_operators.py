@@ -308,3 +308,35 @@ def test_url_trees_learn_and_score_in_sql(spark):
     for r in out[:50]:
         z = model.bias + sum(walk(t, by[r["page_id"]]) for t in model.trees)
         assert abs(r["score"] - 1 / (1 + 2.718281828459045 ** -z)) < 1e-9
+
+
+def test_url_suffixes_all_count(spark):
+    """300 registered domains that look alike, a third of them bad throughout, and one URL with very many copies."""
+    from quire.llm import urls
+
+    name = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:10]
+    bad = {i for i in range(300) if hashlib.md5(f"bad{i}".encode()).digest()[0] % 3 == 0}
+    page = lambda i, k: f"http://www.{name(i)}.com/page/{100 + k}"
+    rows = [(page(i, k), int(i in bad)) for i in range(300) for k in range(30)] + [("http://hot.example.org/", 0)] * 3000
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = urls.train(labelled, max_rows=3000)
+    rates = {r["suffix"]: r["suffix_rate"] for r in model.rates.collect()}
+    prior = (30 * len(bad) + 1) / (len(rows) + 2)
+    assert len(rates) == 301 and model.prior == prior
+    assert all(abs(rates[f"{name(i)}.com"] - (30 * (i in bad) + 10 * prior) / 40) < 1e-12 for i in range(300))
+    pages = spark.createDataFrame([(i, page(i, 50)) for i in range(300)] + [(1000, "http://www.unheard.com/page/7")] * 2, "page_id long, url string")
+    out = urls.judge(pages, model, rules=[])
+    got = out.collect()
+    assert len(got) == 302 and all((r["verdict"] == "block") == (r["page_id"] in bad) for r in got if r["page_id"] < 300)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_url_copies_do_not_fill_the_sample(spark):
+    from quire.llm import urls
+
+    rows = [(f"http://a.example.com/{'x' * (i % 40)}/{i}?q=1", 1) for i in range(100)] + [(f"http://a.example.com/{i}", 0) for i in range(100)]
+    hot = [("http://b.example.org/", 0)] * 5000
+    model = urls.train(spark.createDataFrame(rows + hot, "url string, label int"), max_rows=201)
+    out = urls.judge(spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id long, url string"), model, rules=[]).collect()
+    assert sum((r["verdict"] == "block") == bool(rows[r["page_id"]][1]) for r in out) == 200
