@@ -1,7 +1,7 @@
 """HTML to the text that a reader sees, with its layout.
 
 A tokenizer feeds a tree builder that supplies the end tags HTML leaves out (paragraphs, list items,
-table parts, options), treats script and style as raw text and bounds the depth. A renderer walks the
+table parts, options) and treats script and style as raw text. A renderer walks the
 tree: elements hidden by kind, attribute, inline style or style sheet rules are left out;
 blocks stand on lines of their own with blank lines around paragraphs and headings, lists are
 indented with their markers, preformatted text keeps its spaces, and table cells are aligned.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,7 +52,10 @@ INSETS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split()
 HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: Where the search for an element to close by </p> and the like stops.
 BARRIERS = frozenset("table td th caption html template button object".split())
-MAX_DEPTH, MAX_PAD, MAX_SPAN = 512, 60, 100
+#: Width beyond which cells are wrapped, and columns to which nested lists and quotes are indented at most.
+WRAP, MAX_INDENT = 60, 512
+#: HTML's own limits.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 _WS = " \\t\\n\\f\\r"
 #: The attributes of a tag: a quote opens a value only behind "=".
@@ -88,14 +92,22 @@ class Node:
 def parse(text: str) -> tuple[Node, list[tuple[str, str]]]:
     """The tree, and media query and text of all style sheets."""
     root = Node("html")
-    stack, open_ = [root], {"html": 1}
+    stack = [root]
+    # Where on the stack the open elements of each tag are, and the blocks and barriers among them.
+    open_: dict[str, list[int]] = {"html": [0]}
+    blocks, barriers = [0], [0]
     styles: list[tuple[str, str]] = []
     pos, size, headless = 0, len(text), False
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
+        tag, at = node.tag, len(stack)
         stack.append(node)
-        open_[node.tag] = open_.get(node.tag, 0) + 1
+        open_.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            blocks.append(at)
+        if tag in BARRIERS:
+            barriers.append(at)
 
     def content(s: str) -> None:
         nonlocal headless
@@ -110,20 +122,21 @@ def parse(text: str) -> tuple[Node, list[tuple[str, str]]]:
         stack[-1].children.append(s)
 
     def pop() -> None:
-        open_[stack.pop().tag] -= 1
+        tag = stack.pop().tag
+        open_[tag].pop()
+        if tag in BLOCKS:
+            blocks.pop()
+        if tag in BARRIERS:
+            barriers.pop()
 
-    def close(tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> bool:
-        if not any(open_.get(t) for t in tags):
-            return False
-        for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag
-            if tag in tags:
-                while len(stack) > i:
-                    pop()
-                return True
-            if tag in until:
-                return False
-        return False
+    def last(tags: set[str] | frozenset[str]) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+
+    def close(tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
+        at = last(tags)
+        if at and at >= (blocks[-1] if until is BLOCKS else barriers[-1] if until is BARRIERS else last(until)):
+            while len(stack) > at:
+                pop()
 
     while pos < size:
         m = _TOKEN.search(text, pos)
@@ -147,26 +160,21 @@ def parse(text: str) -> tuple[Node, list[tuple[str, str]]]:
                     if tag != "body":
                         push(Node("body"))
             if tag in BREAKOUT and (open_.get("svg") or open_.get("math")):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in INSETS:
-                        break
-                    if stack[i].tag in ("svg", "math"):
-                        while len(stack) > i:
-                            pop()
-                        break
+                close({"svg", "math"}, INSETS)
             if tag in ENDS_P:
                 close({"p"}, BARRIERS)
             if tag in IMPLIED_ENDS:
                 close(*IMPLIED_ENDS[tag])
             if tag in ("html", "body") and open_.get(tag):
                 continue
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < MAX_DEPTH:
+            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push(Node("tr"))
             node = Node(tag, m[3])
-            stack[-1].children.append(node)
             if tag in VOID:
+                stack[-1].children.append(node)
                 continue
             if tag in RAW:
+                stack[-1].children.append(node)
                 stop = re.compile(f"</{tag}[\\s/>]", re.I).search(text, pos)
                 raw = text[pos : stop.start() if stop else size]
                 if tag == "style":
@@ -178,9 +186,10 @@ def parse(text: str) -> tuple[Node, list[tuple[str, str]]]:
                 pos = after + 1 if after >= 0 else size
                 continue
             foreign = tag in ("svg", "math") or (open_.get("svg") or open_.get("math")) and not open_.get("foreignobject")
-            if len(stack) < MAX_DEPTH and not (foreign and m[3][-1:] == "/" and max((a.end() for a in _ATTR.finditer(m[3])), default=0) < len(m[3])):
-                stack.append(node)
-                open_[tag] = open_.get(tag, 0) + 1
+            if foreign and m[3][-1:] == "/" and max((a.end() for a in _ATTR.finditer(m[3])), default=0) < len(m[3]):
+                stack[-1].children.append(node)
+            else:
+                push(node)
         elif end:
             tag = end.lower()
             if tag == "head":
@@ -542,6 +551,10 @@ def _number(value: str, default: int) -> int:
     return int(m[1]) if m else default
 
 
+def _deeper(indent: str, n: int) -> str:
+    return (indent + " " * n)[: max(n, MAX_INDENT)]
+
+
 def render(node: Node, sheet: Sheet, page: Page, state: tuple) -> None:
     """Lay a node's children out; an explicit stack carries what is to be done.
 
@@ -602,9 +615,9 @@ def render(node: Node, sheet: Sheet, page: Page, state: tuple) -> None:
             continue
         if step == "item":
             back = page.indent
-            page.marker, page.indent = extra if visible else "", page.indent + " " * len(extra)
+            page.marker, page.indent = extra if visible else "", _deeper(page.indent, len(extra))
         elif tag in ("blockquote", "dd"):
-            back, page.indent = page.indent, page.indent + "  "
+            back, page.indent = page.indent, _deeper(page.indent, 2)
         elif tag in ("td", "th"):
             page.block(1)
         inside = pre or tag in ("pre", "textarea", "xmp")
@@ -620,8 +633,12 @@ def render(node: Node, sheet: Sheet, page: Page, state: tuple) -> None:
 
 
 def _table(table: Node, sheet: Sheet, page: Page, state: tuple) -> None:
-    """Rows of cells, each column as wide as its widest cell (up to MAX_PAD)."""
-    rows: list[tuple[Node, tuple]] = []
+    """Rows of cells in aligned columns; a cell of over WRAP characters that others follow is wrapped in its column.
+
+    Columns in which no cell begins take no room. A column is as wide as its longest word, unless
+    that padding would outgrow the table by far; then words are broken.
+    """
+    rows: list[tuple[Node, tuple, tuple]] = []
     loose: list = []
     todo = [(c, state) for c in reversed(table.children)]
     while todo:
@@ -637,10 +654,10 @@ def _table(table: Node, sheet: Sheet, page: Page, state: tuple) -> None:
             if x.tag in ("tbody", "thead", "tfoot"):
                 todo.extend((c, inner) for c in reversed(x.children))
             elif x.tag == "tr":
-                rows.append((x, inner))
+                rows.append((x, inner, around))
             elif x.tag in ("td", "th"):
                 if not rows or rows[-1][0].attrs != "implied":
-                    rows.append((Node("tr", "implied"), around))
+                    rows.append((Node("tr", "implied"), around, around))
                 rows[-1][0].children.append(x)
             elif x.tag not in ("col", "colgroup"):
                 loose.append((x, around))
@@ -648,10 +665,14 @@ def _table(table: Node, sheet: Sheet, page: Page, state: tuple) -> None:
         for x, around in loose:
             _alone(x, sheet, page, around)
         page.block(1)
-    grid: list[list[str]] = []
-    hang: dict[int, int] = {}
-    for r, state in rows:
-        line: list[str] = []
+    grid: list[dict[int, str]] = []
+    hang: list[list[int]] = []  # first column, one behind the last, rows to come
+    group = None
+    for r, state, part in rows:
+        if part is not group:
+            hang, group = [], part
+        line: dict[int, str] = {}
+        at, k, begun = 0, 0, []
         for c in r.children:
             if isinstance(c, str) or c.tag not in ("td", "th"):
                 if isinstance(c, Node) or c.strip():
@@ -661,36 +682,74 @@ def _table(table: Node, sheet: Sheet, page: Page, state: tuple) -> None:
             shown, own = sheet.look(c, state[3], state[2])
             if not shown:
                 continue
-            while hang.get(len(line), 0):
-                hang[len(line)] -= 1
-                line.append("")
+            while k < len(hang) and hang[k][0] <= at:
+                at = max(at, hang[k][1])
+                k += 1
             below = _link(c, state[3])
             a, cell = below[1], Page()
             render(c, sheet, cell, (False, state[1] if own is None else own, state[2], below))
-            wide, deep = min(max(_number(a.get("colspan", ""), 1), 1), MAX_SPAN), min(max(_number(a.get("rowspan", ""), 1), 1), MAX_SPAN)
-            for k in range(wide):
-                if deep > 1:
-                    hang[len(line)] = deep - 1
-                line.append(" ".join(str(cell).split()) if k == 0 else "")
-        while hang.get(len(line), 0):
-            hang[len(line)] -= 1
-            line.append("")
+            wide = min(max(_number(a.get("colspan", ""), 1), 1), MAX_COLSPAN)
+            deep = min(max(_number(a.get("rowspan", ""), 1), 0), MAX_ROWSPAN) or MAX_ROWSPAN
+            line[at] = " ".join(str(cell).split())
+            if deep > 1:
+                begun.append([at, at + wide, deep])
+            at += wide
+        hang = sorted([a, b, n - 1] for a, b, n in hang + begun if n > 1)
         grid.append(line)
-    width: list[int] = []
+    columns = {c: k for k, c in enumerate(sorted({c for line in grid for c in line}))}
+    table_rows: list[list[str]] = []
+    width, followed = [0] * len(columns), {}
     for line in grid:
-        for k, c in enumerate(line):
-            if k == len(width):
-                width.append(0)
-            width[k] = max(width[k], min(len(c), MAX_PAD))
-    for line in grid:
-        while line and not line[-1]:
-            line.pop()
-        shown = " | ".join(c.ljust(w) for c, w in zip(line, width, strict=False)).rstrip(" ")
-        page.block(1)
-        if shown:
-            page.start()
-            page.parts.append(shown)
-        page.block(1)
+        cells = [""] * (max((columns[c] for c, t in line.items() if t), default=-1) + 1)
+        for c, t in line.items():
+            if t:
+                k = columns[c]
+                cells[k] = t
+                width[k] = max(width[k], min(len(t), WRAP))
+                if len(t) > WRAP and k < len(cells) - 1:
+                    followed.setdefault(k, []).append(t)
+        table_rows.append(cells)
+    budget = 4 * sum(len(t) for line in grid for t in line.values()) + (1 << 16)
+    for k in sorted(followed):
+        before, lengths = sum(width[:k]) + 3 * k, [len(t) for t in followed[k]]
+        cost = lambda w, before=before, lengths=lengths: sum(-(-n // w) for n in lengths) * before + len(grid) * w
+        width[k] = max(WRAP, max(len(w) for t in followed[k] for w in t.split(" ")))
+        if cost(width[k]) > budget:
+            options = [WRAP << i for i in range(max(lengths).bit_length())]
+            width[k] = next((w for w in options if cost(w) <= budget), None) or min(options, key=cost)
+    for cells in table_rows:
+        wrapped = {k: _wrap(t, width[k]) for k, t in enumerate(cells[:-1]) if len(t) > width[k]}
+        for i in range(max(map(len, wrapped.values()), default=1)):
+            if i:
+                cells = [wrapped[k][i] if k in wrapped and i < len(wrapped[k]) else "" for k in range(max(k for k, t in wrapped.items() if i < len(t)) + 1)]
+            else:
+                cells = [wrapped[k][0] if k in wrapped else t for k, t in enumerate(cells)]
+            shown = " | ".join(c.ljust(w) for c, w in zip(cells, width, strict=False)).rstrip(" ")
+            page.block(1)
+            if shown:
+                page.start()
+                page.parts.append(shown)
+            page.block(1)
+
+
+def _wrap(text: str, width: int) -> list[str]:
+    """Lines of at most width characters; only longer words are broken."""
+    lines, line, used = [], [], 0
+    for word in text.split(" "):
+        while len(word) > width:
+            if line:
+                lines.append(" ".join(line))
+                line, used = [], 0
+            lines.append(word[:width])
+            word = word[width:]
+        if not word:
+            continue
+        if line and used + 1 + len(word) > width:
+            lines.append(" ".join(line))
+            line, used = [], 0
+        used += len(word) + bool(line)
+        line.append(word)
+    return [*lines, " ".join(line)] if line else lines
 
 
 def _alone(x: Node | str, sheet: Sheet, page: Page, state: tuple) -> None:
@@ -700,6 +759,8 @@ def _alone(x: Node | str, sheet: Sheet, page: Page, state: tuple) -> None:
 
 
 def visible_text(source: str) -> str:
+    # A table in a table takes a few frames of the interpreter's own stack.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * source.lower().count("<table")))
     root, styles = parse(source)
     sheet, page = Sheet(styles), Page()
     shown, visible = sheet.look(root, None)
@@ -712,8 +773,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(page_id, text, n_chars): the visible text of each page, whole.
 
     Null or empty HTML gives an empty text. Malformed HTML never fails: stray end tags are ignored,
-    open elements end with the page, elements deeper than MAX_DEPTH become children of that depth.
-    Columns wider than MAX_PAD are not padded further, so aligned tables stay in proportion to their
+    open elements end with the page. Elements of any depth keep their visibility and layout, but the
+    indentation stops at MAX_INDENT columns. Cells of over WRAP characters are wrapped, so aligned
+    tables stay in proportion to their
     input. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("text"))

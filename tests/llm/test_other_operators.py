@@ -118,6 +118,42 @@ def test_html_visibility(source, want):
     assert visible_text(source).split() == want.split() and visible_text(source).strip("\n").count("\n") == want.count("\n")
 
 
+def test_html_wide_cells_keep_columns_aligned():
+    from quire.llm.html_text import visible_text
+
+    long, word = " ".join(f"word{i}" for i in range(40)), "x" * 64
+    lines = visible_text(f"<table><tr><td>a<td>{long}<td>end<tr><td>b<td>{word}<td>z<tr><td>c<td>d<td>{long}</table>").split("\n")
+    assert {ln.index(" | ", 3) for ln in lines if ln.count(" | ") == 2} == {4 + 64} and lines[-1].endswith(long)
+    assert [w for ln in lines[:-2] for w in ln.replace("|", " ").split()] == ["a", *(w := long.split())[: (n := lines[0].split(" | ")[1].count("word"))], "end", *w[n:]]
+    assert word in lines[-2] and lines[-2].endswith("| z")
+
+
+def test_html_padding_stays_in_proportion():
+    from quire.llm.html_text import visible_text
+
+    page = "<table><tr><td>" + "x" * 100_000 + "<td>b" + "<tr><td>a<td>b" * 5000 + "</table>"
+    assert len(visible_text(page)) < 10 * len(page)
+    page = "<table><tr>" + "<td>a" * 3000 + "<td>" + "w " * 50_000 + "<td>b" + "<tr><td>c" * 3000 + "</table>"
+    assert len(visible_text(page)) < 100 * len(page)
+
+
+def test_html_spans_and_depth():
+    from quire.llm.html_text import visible_text
+
+    rows = "<table><tr><td rowspan=300>s<td>0" + "".join(f"<tr><td>{i}" for i in range(1, 302)) + "</table>"
+    lines = visible_text(rows).split("\n")
+    assert lines[299] == "    | 299" and lines[300] == "300" and lines[301] == "301"
+    assert visible_text("<table><tr><td colspan=500>a<td>b<tr>" + "<td>c" * 500 + "<td>d</table>").split("\n")[0].split()[-1] == "b"
+    wide = visible_text("<table><tr><td colspan=500>a<td>b<tr>" + "<td>c" * 500 + "<td>d</table>").split("\n")
+    assert wide[0].index("b") == wide[1].index("d")
+    assert visible_text("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>") == "a | b\n  | c\nd"
+    deep = "<font>" * 3000
+    assert visible_text(deep + "<div hidden>no</div><ul><li>a<li>b</ul><table><tr><td>x<td>y<tr><td>long<td>z</table>") == "- a\n- b\n\nx    | y\nlong | z"
+    assert visible_text("<table><tr><td>" * 2000 + "in" + "</table>" * 2000 + "out").split() == ["in", "out"]
+    assert visible_text("<p><table><td>" + "<font>" * 100_000 + "<hr>" * 100_000 + "t") == "t"
+    assert len(visible_text("<blockquote>x" * 3000)) < 3000 * 600
+
+
 def test_html_odd_pages(spark):
     from quire.llm.html_text import extract, visible_text
 
