@@ -167,38 +167,178 @@ def _gzip(b: memoryview, at: int) -> int:
     return p - len(d.unused_data) - at if d.eof else 0
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for i in range(256):
+        c = i << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        out.append(c)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(b: memoryview, p: int, bits: int) -> tuple[int, int, int, int, int] | None:
+    """Of a frame: end of its header, samples, channel code, bits a sample, number."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] >> 1 != 0x7C:
+        return None
+    size, rate, channels, width = b[p + 2] >> 4, b[p + 2] & 15, b[p + 3] >> 4, b[p + 3] >> 1 & 7
+    if not size or rate == 15 or channels > 10 or width == 3 or b[p + 3] & 1:
+        return None
+    lead = b[p + 4]
+    more = 0 if lead < 0x80 else next((k for k in range(1, 7) if lead >> (6 - k) == (1 << (k + 2)) - 2), None)
+    at = p + 5 + (more or 0) + (size == 6) + 2 * (size == 7) + (rate == 12) + 2 * (rate in (13, 14))
+    if more is None or at >= len(b):
+        return None
+    number = lead & (0x7F if not more else (1 << (6 - more)) - 1)
+    for x in b[p + 5 : p + 5 + more]:
+        number = number << 6 | x & 63
+    q = p + 5 + more
+    n = 192 if size == 1 else 576 << (size - 2) if size < 6 else b[q] + 1 if size == 6 else (b[q] << 8 | b[q + 1]) + 1 if size == 7 else 256 << (size - 8)
+    crc = 0
+    for x in b[p:at]:
+        crc = _CRC8[crc ^ x]
+    return (at + 1, n, channels, (bits, 8, 12, 0, 16, 20, 24, 32)[width], number) if crc == b[at] else None
+
+
+def _flac_subframes(bits: str, n: int, channels: int, width: int) -> int:
+    """Bits that the subframes take; ValueError where they are broken, or bits too short."""
+    pos = 0
+
+    def take(k: int) -> int:
+        nonlocal pos
+        pos += k
+        return int(bits[pos - k : pos] or "0", 2)
+
+    for c in range(channels + 1 if channels < 8 else 2):
+        own = width + (channels in (8, 10) and c == 1 or channels == 9 and c == 0)
+        if take(1):
+            raise ValueError
+        kind = take(6)
+        if take(1):
+            one = bits.index("1", pos)
+            own -= one - pos + 1
+            pos = one + 1
+        order = kind & 7 if 8 <= kind <= 12 else (kind & 31) + 1 if kind >= 32 else -1
+        if own < 1 or order < 0 and kind > 1 or order > n:
+            raise ValueError
+        if order < 0:
+            pos += own * (n if kind else 1)
+            continue
+        pos += own * order
+        if kind >= 32:
+            precision = take(4) + 1
+            if precision == 16:
+                raise ValueError
+            pos += 5 + precision * order
+        method, parts = take(2), take(4)
+        if method > 1 or n % (1 << parts) or n >> parts < order:
+            raise ValueError
+        for k in range(1 << parts):
+            rice, count = take(4 + method), (n >> parts) - (0 if k else order)
+            if rice == (31 if method else 15):
+                pos += take(5) * count
+            else:
+                for _ in range(count):
+                    pos = bits.index("1", pos) + 1 + rice
+        if pos > len(bits):
+            raise ValueError
+    if pos > len(bits):
+        raise ValueError
+    return pos
+
+
+def _flac_frame(b: memoryview, p: int, bits: int) -> tuple[int, int, int] | None:
+    """End, samples and number of the frame at p; None where it is broken."""
+    head = _flac_header(b, p, bits)
+    if head is None or not head[3]:
+        return None
+    at, n, channels, width, number = head
+    room = (channels + 1 if channels < 8 else 2) * (n * (width + 1) // 8 + 64)
+    while True:
+        part = b[at : at + room]
+        try:
+            used = _flac_subframes(bin(int.from_bytes(b"\1" + part, "big"))[3:], n, channels, width)
+            break
+        except ValueError:
+            if at + room >= len(b) or room > 1 << 24:
+                return None
+            room *= 8
+    end = at + -(-used // 8) + 2
+    if end > len(b):
+        return None
+    crc = 0
+    for x in bytes(b[p : end - 2]):
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ x]
+    return (end, n, number) if crc == b[end - 2] << 8 | b[end - 1] else None
+
+
 def _flac(b: memoryview, at: int) -> int:
-    p, first = at + 4, True
+    """To the end of the last valid frame. Negative (to the end of the bytes at most) where already the first is broken."""
+    p, first, bits, total = at + 4, True, 0, 0
     while p + 4 <= len(b):
         last, kind, n = b[p] >> 7, b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (kind != 0 or n != 34) or kind > 6:
             return 0
+        if first and p + 38 <= len(b):
+            packed = int.from_bytes(b[p + 14 : p + 22], "big")
+            bits, total = (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
         p, first = p + 4 + n, False
-        if last:  # frames carry no length: they reach to the end
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] >> 2 == 0x3E else 0
-    return 0
+        if last:
+            break
+    else:
+        return 0
+    if not (p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] >> 2 == 0x3E):
+        return 0
+    end, done, number, rest = 0, 0, -1, None
+    while True:
+        frame = _flac_frame(b, p, bits)
+        if frame and (not end or frame[2] > number):
+            p, number = frame[0], frame[2]
+            end, done = p, done + frame[1]
+            if total and done >= total:
+                break
+            continue
+        if not end or not total:
+            break
+        # A broken frame: go on with a later one of this stream.
+        rest = rest if rest is not None else bytes(b)
+        stop = rest.find(b"fLaC", end)
+        hits = [x for x in (rest.find(m, p + 1, stop if stop >= 0 else len(rest)) for m in (b"\xff\xf8", b"\xff\xf9")) if x >= 0]
+        if not hits:
+            break
+        p = min(hits)
+    return end - at if end else at - len(b)
 
 
 def _ogg(b: memoryview, at: int) -> int:
-    p = at
+    """To the page with which all streams that have begun have ended."""
+    p, running = at, set()
     while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\x00":
         n = b[p + 26]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
         if p + 27 + n > len(b) or end > len(b):
             return 0
-        last, p = b[p + 5] & 4, end
-        if last:
+        serial = bytes(b[p + 14 : p + 18])
+        running.add(serial)
+        if b[p + 5] & 4:
+            running.discard(serial)
+        p = end
+        if not running:
             return p - at
     return 0
 
 
 def _mp4(b: memoryview, at: int) -> int:
+    """To the last box, or to the ftyp of a next file."""
     p, kinds = at, []
     while 0 <= p and p + 8 <= len(b):
         n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
         if n == 1 and p + 16 <= len(b):
             n = int.from_bytes(b[p + 8 : p + 16], "big")
-        if n < 8 or p + n > len(b) or not kind.isalnum():
+        if n < 8 or p + n > len(b) or not kind.isalnum() or kinds and kind == b"ftyp":
             break
         kinds.append(kind)
         p += n
@@ -219,17 +359,28 @@ class Sniffer:
 
     def __call__(self, raw: bytes) -> tuple[str | None, int, list[tuple[str, int, int]]]:
         """(kind at the start or None, its length, carved media behind the start as (kind, offset, length))."""
-        view, kind, length, carved, until = memoryview(raw), None, 0, [], 1
+        view, kind, length, carved, until, open_ = memoryview(raw), None, 0, [], 1, None
         hits = sorted({(end - back, k) for end, (k, back) in self.automaton.iter(raw.decode("latin-1")) if end >= back})
         for at, k in hits:
             if at and at < until:
                 continue
             n = VALIDATORS[k](view, at)
+            if n and open_ is not None:  # what has no end of its own ends where the next begins
+                if open_:
+                    carved[-1] = (*carved[-1][:2], at - open_)
+                else:
+                    length = at
+                open_ = None
+            if n < 0:
+                open_, n = at, -n
+                end = at + 1
+            else:
+                end = at + n
             if n and at == 0:
                 kind, length = k, n
             elif n:
                 carved.append((k, at, n))
-                until = at + n
+                until = end
         return kind, length, carved
 
 

@@ -253,6 +253,58 @@ def test_media_formats_validate_and_break(kind):
     assert got[0] is None and got[2][0] == (kind, 4, len(raw))
 
 
+def _crc(data, poly, bits):
+    c = 0
+    for x in data:
+        c ^= x << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) else 0)) & ((1 << bits) - 1)
+    return c
+
+
+def _flac_bytes(frames, total):
+    """16-bit stereo, 192 samples a frame: a fixed subframe with Rice codes, and a constant one for the side."""
+    out = b"fLaC\x80\x00\x00\x22" + struct.pack(">HH", 192, 192) + bytes(6) + ((44100 << 44) | (1 << 41) | (15 << 36) | total).to_bytes(8, "big") + bytes(16)
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x88, k])
+        head += bytes([_crc(head, 7, 8)])
+        rice = "".join("0" * ((i * 7 + k) % 5) + "1" + format(i % 8, "03b") for i in range(191))
+        sub = "0" + "001001" + "0" + format(k, "016b") + "00" + "0000" + "0011" + rice
+        sub += "0" + "000000" + "0" + format(k, "017b")
+        sub += "0" * (-len(sub) % 8)
+        frame = head + int(sub, 2).to_bytes(len(sub) // 8, "big")
+        out += frame + struct.pack(">H", _crc(frame, 0x8005, 16))
+    return out
+
+
+@pytest.mark.parametrize("total", [0, 192 * 4])
+def test_media_flac_ends_with_its_last_frame(total):
+    from quire.llm.media import Sniffer
+
+    sniff, flac, png = Sniffer(), _flac_bytes(4, total), SAMPLES["png"]
+    assert sniff(flac)[:2] == ("flac", len(flac))
+    kind, n, carved = sniff(flac + png + flac + b"tail")
+    assert (kind, n) == ("flac", len(flac)) and carved == [("png", len(flac), len(png)), ("flac", len(flac) + len(png), len(flac))]
+    assert sniff(b"junk" + flac + flac + b"x")[2] == [("flac", 4, len(flac)), ("flac", 4 + len(flac), len(flac))]
+    one = (len(flac) - 42) // 4
+    cut = flac[:-1] + png
+    assert sniff(cut)[1] in range(len(flac) - one - 8, len(flac) - one + 8) and [k for k, *_ in sniff(cut)[2]] == ["png"]
+    hurt = bytearray(flac)
+    hurt[42 + one + 30] ^= 1
+    assert sniff(bytes(hurt) + png)[1] == len(flac) or not total
+    assert sniff(SAMPLES["flac"] + png)[:2] == ("flac", len(SAMPLES["flac"])) and sniff(b"j" + SAMPLES["flac"] + png)[2] == [("flac", 1, len(SAMPLES["flac"])), ("png", 1 + len(SAMPLES["flac"]), len(png))]
+
+
+def test_media_ogg_and_mp4_end_by_themselves():
+    from quire.llm.media import Sniffer
+
+    page = lambda flag, serial: b"OggS\x00" + bytes([flag]) + bytes(8) + bytes([serial]) + bytes(11) + b"\x01\x03abc"
+    ogg = page(2, 1) + page(2, 2) + page(0, 1) + page(4, 1) + page(0, 2) + page(4, 2)
+    sniff, mp4, png = Sniffer(), SAMPLES["mp4"], SAMPLES["png"]
+    assert sniff(ogg + png)[1] == len(ogg) and sniff(b"junk" + ogg + png)[2] == [("ogg", 4, len(ogg)), ("png", 4 + len(ogg), len(png))]
+    assert sniff(mp4 + mp4 + png)[1:] == (len(mp4), [("mp4", len(mp4), len(mp4)), ("png", 2 * len(mp4), len(png))])
+
+
 def test_media_inspection_table(spark):
     from quire.llm.media import inspect, to_wav
 
