@@ -1,7 +1,8 @@
-"""What the operators share: materialised tables, Arrow chunking, words and hashes in numpy.
+"""What the operators share: materialised tables, Arrow chunking, words and their names in numpy.
 
-All hashes are functions of the content alone, so every task on every executor names the same
-content alike and a recomputed task gives the same names again.
+All names are functions of the content alone, so every task on every executor names the same
+content alike and a recomputed task gives the same names again. Where equality decides a result,
+a name is a 128-bit BLAKE2b digest of the bytes themselves; words are told apart by the bytes.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,6 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
-_MASK = (1 << 64) - 1
-#: An odd multiplier for polynomial hashes modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 #: Spark removes a query's shuffle files as soon as the query has ended.
@@ -32,9 +31,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a new temporary one in local mode, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -76,8 +77,9 @@ def drop(*tables: DataFrame) -> None:
 
 
 def row_key(doc_id: str, text: str):
-    """A 64-bit key of a row: rows that repeat (same id, same text) share it and get the same results."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """A 128-bit key of a row out of SHA-256: rows that repeat (same id, same text) share it and get the same results."""
+    part = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.substring(F.unhex(F.sha2(F.concat(part(doc_id), part(text)).cast("binary"), 256)), 1, 16)
 
 
 # ---------------------------------------------------------------- Arrow chunks
@@ -128,41 +130,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n, kept for the next call."""
-    if not _POW or len(_POW[0][0]) <= n:
-        size = max(1 << n.bit_length(), CHUNK_BYTES) + 1
-        out = []
-        for b in (BASE, BASE_INV):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        if size > 8 * CHUNK_BYTES:  # a very long text: do not keep
-            return out[0], out[1]
-        _POW[0] = (out[0], out[1])
-    return _POW[0]
-
-
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * BASE**i, one longer than values."""
-    pw, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * pw[: len(values)], out=out[1:])
-    return out
-
-
-def range_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of values[start:end] for prefix sums pre: equal ranges, equal hashes."""
-    _, inv = powers(len(pre))
-    return (pre[end] - pre[start]) * inv[start]
-
-
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-
-
 # ---------------------------------------------------------------- words
 
 
@@ -196,10 +163,99 @@ def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
     return s, e, np.searchsorted(s, off)
 
 
-def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each word."""
-    h = range_hash(prefix(_BYTE[data]), s, e)
-    return mix(h + (e - s).astype(U64) * U64(0xA0761D6478BD642F))
+def spaced(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words, one space behind each, and where each word begins there (and the last space ends)."""
+    size = e - s + 1
+    at = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    if not len(s):
+        return np.zeros(0, np.uint8), at
+    kind = np.int32 if len(data) < 1 << 30 and at[-1] < 1 << 30 else np.int64
+    take = np.repeat((s - at[:-1]).astype(kind), size)
+    take += np.arange(at[-1], dtype=kind)
+    take[-1] = min(int(take[-1]), len(data) - 1)
+    out = data[take]
+    out[at[1:] - 1] = 0x20
+    return out, at
+
+
+def dictionary(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each word of spaced() the index of its form, and the different forms (without the space), told apart by their bytes."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64), []
+    kind, width = (pa.binary(), np.int32) if at[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    words = pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(width)), pa.py_buffer(np.ascontiguousarray(buf))])
+    coded = words.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), [w[:-1] for w in coded.dictionary.to_pylist()]
+
+
+def word_names(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each word: of the digest of its bytes, so no rule of arithmetic makes two words alike."""
+    index, forms = dictionary(buf, at)
+    names = np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in forms]), U64)
+    return names[index] if len(index) else np.zeros(0, U64)
+
+
+def range_digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For ranges of bytes their 128-bit digests, as two int64 columns."""
+    raw = memoryview(np.ascontiguousarray(buf))
+    return np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+@dataclass
+class Part:
+    """Words of some texts: of many whole ones, or of a stretch of a very long one.
+
+    rows are the texts, base how many words of each stand before, own how many words belong to this
+    part; up to `overlap` words behind those are shown again by the next part.
+    """
+
+    rows: np.ndarray
+    base: np.ndarray
+    own: np.ndarray
+    data: np.ndarray
+    start: int  # of data in its text
+    s: np.ndarray
+    e: np.ndarray
+    first: np.ndarray
+
+
+def parts(col: pa.Array, inside: np.ndarray, overlap: int = 0, limit: int = CHUNK_BYTES) -> Iterator[Part]:
+    """A chunk's texts as parts of bounded size: a text of more than `limit` bytes comes in several, cut between words."""
+    data, off = text_bytes(col)
+    if len(col) != 1 or len(data) <= limit:
+        s, e, first = word_spans(data, off, inside)
+        yield Part(np.arange(len(col)), np.zeros(len(col), np.int64), np.diff(first), data, 0, s, e, first)
+        return
+    zero, p, base = np.zeros(1, np.int64), 0, 0
+    while p < len(data):
+        q = word_end(data, min(len(data), p + limit), inside)
+        reach, r = 16 * overlap, q
+        while overlap and r < len(data):
+            r = word_end(data, min(len(data), q + reach), inside)
+            s, _, _ = word_spans(data[q:r], np.array([0, r - q]), inside)
+            if len(s) >= overlap:
+                break
+            reach *= 4
+        piece = data[p:r]
+        s, e, _ = word_spans(piece, np.array([0, r - p]), inside)
+        own = int(np.searchsorted(s, q - p))
+        s, e = s[: own + overlap], e[: own + overlap]
+        yield Part(zero, zero + base, zero + own, piece, p, s, e, np.array([0, len(s)]))
+        p, base = q, base + own
+
+
+def word_end(data: np.ndarray, at: int, inside: np.ndarray) -> int:
+    """The first place from `at` on that is not inside a word that began before it."""
+    if not at or at >= len(data) or not inside[data[at - 1]]:
+        return min(at, len(data))
+    step = 1 << 12
+    while at < len(data):
+        out = ~inside[data[at : at + step]]
+        if out.any():
+            return at + int(np.argmax(out))
+        at, step = at + step, step * 2
+    return len(data)
 
 
 def owner(first: np.ndarray, total: int) -> np.ndarray:

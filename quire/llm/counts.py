@@ -10,12 +10,14 @@ better score replaces one, so among equal ones the longest last piece stays. A c
 piece by itself may be unknown at the lowest score minus 10; adjacent unknown ones are one piece.
 Scores are double.
 
-Different words of a chunk are counted once, many at a time as numpy columns, and kept for the
-task's next chunks up to a fixed number.
+Different words of a chunk (told apart by their bytes) are counted once, many at a time as numpy
+columns, and kept for the task's next chunks up to a fixed number. A very long text is taken in parts
+cut at spaces. A text's score is summed over its own words only, so equal texts get equal scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,22 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_table, chunks, text_bytes, word_hashes
+from quire.llm.common import byte_table, chunks, dictionary, parts, spaced, text_bytes
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this are counted one by one; words counted together; words kept by a task.
-LONG_WORD, TOGETHER, KEPT = 64, 1 << 14, 1 << 20
+LONG_WORD, TOGETHER, KEPT = 64, 1 << 14, 1 << 18
 
 _BREAK = byte_table((0x20, 0x20))
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of the ordinary pieces of a sentencepiece file, whose scores are taken as log-scores."""
+    """(piece, log-probability) of the ordinary pieces of a sentencepiece file.
+
+    A unigram model's scores are log-probabilities as they are. A file of another model orders its
+    pieces only, and the k-th gets the probability that Zipf's law gives it, 1 / (k * H).
+    """
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as schema
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(m.id_to_piece(i), float(m.get_score(i))) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    rows = [(m.id_to_piece(i), float(m.get_score(i))) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    if schema.ModelProto.FromString(m.serialized_model_proto()).trainer_spec.model_type == schema.TrainerSpec.UNIGRAM:
+        return rows
+    rows.sort(key=lambda r: -r[1])
+    whole = math.log(sum(1 / k for k in range(1, len(rows) + 1)))
+    return [(piece, -math.log(k) - whole) for k, (piece, _) in enumerate(rows, 1)]
 
 
 def default_vocabulary() -> str:
@@ -213,8 +225,7 @@ class Counter:
             self.automaton = _AUTOMATA[path]
         else:
             self.automaton = Automaton(pieces)
-        self.known = np.zeros(0, np.uint64)
-        self.scores, self.counts = np.zeros(0), np.zeros(0, np.int64)
+        self.known: dict[bytes, tuple[float, int]] = {}
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words], np.int64)
@@ -232,47 +243,48 @@ class Counter:
             score[rows], count[rows] = self.automaton.many(chars, n)
         return score, count
 
-    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forms(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and counts of different words, given without their spaces."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        score, count = np.empty(len(forms)), np.empty(len(forms), np.int64)
+        new = []
+        for k, w in enumerate(forms):
+            got = self.known.get(w)
+            if got is None:
+                new.append(k)
+            else:
+                score[k], count[k] = got
+        if new:
+            score[new], count[new] = self.words([SPACE + forms[k].decode() for k in new])
+            self.known.update({forms[k]: (score[k], count[k]) for k in new if len(forms[k]) <= LONG_WORD})
+        return score, count
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, pretokens and score of each text."""
-        raw = data.tobytes()
         mark = SPACE.encode()
-        if mark in raw:  # the mark in a text is a space
-            parts = [raw[a:b].replace(mark, b" ") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            raw = b"".join(parts)
-            data, off = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        n = len(data)
-        # a pretoken begins at every space, and at a text's first byte
-        first = np.zeros(n, bool)
-        first[data == 0x20] = True
-        begin = off[:-1][np.diff(off) > 0]
-        first[begin] = True
-        s = np.flatnonzero(first)
-        e = np.append(s[1:], n)
-        s = s + (data[s] == 0x20) if n else s
-        h = word_hashes(data, s, e)
-        uniq, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known):
-            k = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
-            have = self.known[k] == uniq
-        else:
-            k, have = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), bool)
-        score, count = np.empty(len(uniq)), np.empty(len(uniq), np.int64)
-        score[have], count[have] = self.scores[k[have]], self.counts[k[have]]
-        new = np.flatnonzero(~have)
-        if len(new):
-            a, b = s[at[new]].tolist(), e[at[new]].tolist()
-            score[new], count[new] = self.words([SPACE + raw[x:y].decode() for x, y in zip(a, b, strict=True)])
-            if len(self.known) + len(new) > KEPT:
-                self.known, self.scores, self.counts = uniq, score, count
-            else:
-                spot = np.searchsorted(self.known, uniq[new])
-                self.known = np.insert(self.known, spot, uniq[new])
-                self.scores, self.counts = np.insert(self.scores, spot, score[new]), np.insert(self.counts, spot, count[new])
-        # sums by text; a text's pretokens are those that begin in it
-        place = np.searchsorted(np.flatnonzero(first), off)
-        total = np.concatenate([[0], np.cumsum(count[back])])
-        weight = np.concatenate([[0], np.cumsum(score[back])])
-        return total[place[1:]] - total[place[:-1]], np.diff(place), weight[place[1:]] - weight[place[:-1]]
+        if mark in text_bytes(col)[0].tobytes():  # the mark in a text is a space
+            col = pa.array([(t or "").replace(SPACE, " ") for t in col.to_pylist()], pa.large_string())
+        off = text_bytes(col)[1]
+        tokens, words, score = np.zeros(len(col), np.int64), np.zeros(len(col), np.int64), np.zeros(len(col))
+        for p in parts(col, _BREAK):
+            index, forms = dictionary(*spaced(p.data, p.s, p.e))
+            each, n = self.forms([*forms, b""])
+            # a pretoken begins at every space, and at a text's first byte; those without a word are a mark alone
+            spaces = np.concatenate([[0], np.cumsum(p.data == 0x20)])
+            at = off if len(p.rows) != 1 else np.array([0, len(p.data)])
+            begins = spaces[at[1:]] - spaces[at[:-1]]
+            full = np.flatnonzero(np.diff(at))
+            begins[full] += (p.data[at[:-1][full]] != 0x20) & (p.start == 0)
+            worded = np.flatnonzero(p.own)
+            if len(worded):
+                begin = p.first[:-1][worded]
+                tokens[p.rows[worded]] += np.add.reduceat(n[index], begin)
+                score[p.rows[worded]] += np.add.reduceat(each[index], begin)
+            words[p.rows] += begins
+            tokens[p.rows] += (begins - p.own) * n[-1]
+            score[p.rows] += (begins - p.own) * each[-1]
+        return tokens, words, score
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
@@ -280,8 +292,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     vocabulary is a sentencepiece file read on the executors, or pieces are given as (piece, score).
     n_words counts the stretches between spaces, score is the sum of the best paths' scores. Null
-    and empty texts have 0 of all. Repeated rows stay; other columns are ignored; an empty table
-    gives no rows.
+    and empty texts have 0 of all. Repeated rows stay, equal texts get equal values; other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     path = None if pieces else vocabulary or default_vocabulary()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -289,7 +301,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, pieces)
         for b in chunks(batches):
-            tokens, words, score = counter(*text_bytes(b.column(1)))
+            tokens, words, score = counter(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "n_words", "score"])
 
     kind = src.schema["doc_id"].dataType.simpleString()

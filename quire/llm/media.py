@@ -9,8 +9,10 @@ corrects a declared one; valid hits behind it are carved: outermost ones only, i
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,78 +45,113 @@ MIME = {kind: mime for kind, mime, _, _ in SIGNATURES}
 # ---------------------------------------------------------------- validators: length from `at`, or 0
 
 
-def _png(b: memoryview, at: int) -> int:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n = int.from_bytes(b[p : p + 4], "big")
-        kind = bytes(b[p + 4 : p + 8])
-        if p + 12 + n > len(b) or first and (kind != b"IHDR" or n != 13):
-            return 0
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
-            return 0
-        p, first = p + 12 + n, False
-        if kind == b"IEND":
-            return p - at
-    return 0
+class Bytes:
+    """A value's bytes, and what walks through them have found out, so that many hits cost one walk together."""
 
+    def __init__(self, raw: bytes):
+        self.raw, self.view, self.places, self.known = raw, memoryview(raw), {}, {}
 
-def _jpeg(b: memoryview, at: int) -> int:
-    p = at + 2
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return 0
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, at):
+        return self.view[at]
+
+    def find(self, what: bytes) -> list[int]:
+        """All places of a string, in order."""
+        if what not in self.places:
+            self.places[what] = [m.start() for m in re.finditer(b"(?=" + re.escape(what) + b")", self.raw)]
+        return self.places[what]
+
+    def follow(self, walk: str, p: int, step: Callable[[int], tuple[bool, int]]) -> int:
+        """Where a chain of steps from p comes to an end (0: broken); step gives (done, next place or the end)."""
+        ends, path, done = self.known.setdefault(walk, {}), [], False
+        while not done:
+            if p in ends:
+                end = ends[p]
+                break
+            path.append(p)
+            done, p = step(p)
+            end = p
+        ends.update(dict.fromkeys(path, end))
+        return end
+
+
+def _png(b: Bytes, at: int) -> int:
+    def chunk(p: int) -> tuple[bool, int]:
+        if p + 12 > len(b):
+            return True, 0
+        n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
+        end = p + 12 + n
+        if end > len(b) or not kind.isalpha() or zlib.crc32(b[p + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+            return True, 0
+        return kind == b"IEND", end
+
+    if bytes(b[at + 8 : at + 16]) != b"\0\0\0\x0dIHDR":
+        return 0
+    return max(b.follow("png", at + 8, chunk) - at, 0)
+
+
+_JPEG_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def _jpeg(b: Bytes, at: int) -> int:
+    def segment(p: int) -> tuple[bool, int]:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return True, 0
         kind = b[p + 1]
         if kind == 0xFF:
-            p += 1
-            continue
+            return False, p + 1
         n = int.from_bytes(b[p + 2 : p + 4], "big")
         if n < 2 or not 0xC0 <= kind <= 0xFE:
-            return 0
+            return True, 0
         p += 2 + n
         if kind == 0xDA:  # coded data up to a marker that is neither stuffing nor a restart
-            while p + 1 < len(b):
-                if b[p] == 0xFF and b[p + 1] != 0 and not 0xD0 <= b[p + 1] <= 0xD7 and b[p + 1] != 0xFF:
-                    break
-                p += 1
-            if p + 1 < len(b) and b[p + 1] == 0xD9:
-                return p + 2 - at
-    return 0
+            return coded(p)
+        return False, p
 
+    def coded(p: int) -> tuple[bool, int]:
+        m = _JPEG_MARKER.search(b.raw, p)
+        if m is None:
+            return True, 0
+        return (True, m.start() + 2) if b[m.start() + 1] == 0xD9 else (False, m.start())
 
-def _gif(b: memoryview, at: int) -> int:
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        return p + 1
+    return max(b.follow("jpeg", at + 2, segment) - at, 0)
 
-    if at + 13 > len(b):
-        return 0
-    p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while p < len(b):
+
+def _gif(b: Bytes, at: int) -> int:
+    def block(p: int) -> tuple[bool, int]:
+        return (False, p + b[p] + 1) if p < len(b) and b[p] else (True, p + 1)
+
+    def part(p: int) -> tuple[bool, int]:
+        if p >= len(b):
+            return True, 0
         if b[p] == 0x3B:
-            return p + 1 - at
+            return True, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
+            return False, b.follow("gif blocks", p + 2, block)
+        if b[p] == 0x2C and p + 10 <= len(b):
             flags = b[p + 9]
-            p = blocks(p + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0))
-        else:
-            return 0
-    return 0
+            return False, b.follow("gif blocks", p + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), block)
+        return True, 0
+
+    if at + 13 > len(b):
+        return 0
+    return max(b.follow("gif", at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0), part) - at, 0)
 
 
-def _bmp(b: memoryview, at: int) -> int:
+def _bmp(b: Bytes, at: int) -> int:
     if at + 26 > len(b):
         return 0
-    size, reserved, start, header = struct.unpack_from("<IIII", b, at + 2)
+    size, reserved, start, header = struct.unpack_from("<IIII", b.raw, at + 2)
     ok = reserved == 0 and header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(b) - at
     return size if ok else 0
 
 
-def _riff(form: bytes) -> Callable[[memoryview, int], int]:
+def _riff(form: bytes) -> Callable[[Bytes, int], int]:
     need = {b"WAVE": (b"fmt ", b"data"), b"WEBP": ()}[form]
 
-    def check(b: memoryview, at: int) -> int:
+    def check(b: Bytes, at: int) -> int:
         if at < 0 or bytes(b[at : at + 4]) != b"RIFF" or at + 12 > len(b):
             return 0
         end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -132,39 +169,68 @@ def _riff(form: bytes) -> Callable[[memoryview, int], int]:
     return check
 
 
-def _pdf(b: memoryview, at: int) -> int:
+def _pdf(b: Bytes, at: int) -> int:
+    """To the last end mark before the next header; there must be a cross-reference before it."""
     if at + 8 > len(b) or not (48 <= b[at + 5] <= 57 and b[at + 6] == 46):
         return 0
-    rest = bytes(b[at:])
-    end = rest.rfind(b"%%EOF")
-    again = rest.find(b"%PDF-", 5)
-    if 0 <= again < end:
-        end = rest.rfind(b"%%EOF", 0, again)
-    return end + 5 if end > 0 and b"startxref" in rest[:end] else 0
-
-
-def _zip(b: memoryview, at: int) -> int:
-    rest = bytes(b[at:])
-    p = rest.find(b"PK\x05\x06")
-    while p >= 0 and p + 22 <= len(rest):
-        size, start = struct.unpack_from("<II", rest, p + 12)
-        if start + size == p:
-            n = p + 22 + int.from_bytes(rest[p + 20 : p + 22], "little")
-            return n if n <= len(rest) else 0
-        p = rest.find(b"PK\x05\x06", p + 1)
-    return 0
-
-
-def _gzip(b: memoryview, at: int) -> int:
-    d = zlib.decompressobj(31)
-    p = at
+    heads, ends, refs = b.find(b"%PDF-"), b.find(b"%%EOF"), b.find(b"startxref")
+    k = bisect_left(heads, at + 5)
+    last = bisect_left(ends, heads[k]) if k < len(heads) and ends and heads[k] < ends[-1] else len(ends)
+    if not last or ends[last - 1] <= at:
+        return 0
+    end, r = ends[last - 1], bisect_left(refs, at)
+    return end + 5 - at if r < len(refs) and refs[r] + 9 <= end else 0
+
+
+def _zip(b: Bytes, at: int) -> int:
+    """To the first end record whose directory, by its own size and offset, belongs to an archive that begins here."""
+    if "zip" not in b.known:
+        first: dict[int, int] = {}
+        for p in b.find(b"PK\x05\x06"):
+            if p + 22 <= len(b):
+                size, start = struct.unpack_from("<II", b.raw, p + 12)
+                first.setdefault(p - start - size, p)
+        b.known["zip"] = first
+    p = b.known["zip"].get(at, -1)
+    if p < 0:
+        return 0
+    end = p + 22 + int.from_bytes(b[p + 20 : p + 22], "little")
+    return end - at if end <= len(b) else 0
+
+
+def _gzip(b: Bytes, at: int) -> int:
+    """A header as the format has it, then deflated data that end and agree with the checksum and length behind them."""
+    flags, p = b[at + 3] if at + 18 <= len(b) else 0xFF, at + 10
+    if flags & 0xE0:
+        return 0
+    if flags & 4:
+        p += 2 + int.from_bytes(b[p : p + 2], "little")
+    zeros = b.find(b"\0") if flags & 24 else []
+    for bit in (8, 16):  # a name, a comment
+        if flags & bit:
+            k = bisect_left(zeros, p)
+            if k == len(zeros):
+                return 0
+            p = zeros[k] + 1
+    end = b.follow("gzip", p + (2 if flags & 2 else 0), lambda q: (True, _inflated(b, q)))
+    good = end and (not flags & 2 or zlib.crc32(b[at:p]) & 0xFFFF == int.from_bytes(b[p : p + 2], "little"))
+    return end - at if good else 0
+
+
+def _inflated(b: Bytes, p: int) -> int:
+    """Where the deflated data from p and their trailer end, or 0."""
+    d, crc, size = zlib.decompressobj(-15), 0, 0
+    step = 1 << 10
     try:
         while p < len(b) and not d.eof:
-            d.decompress(bytes(b[p : p + 65536]))
-            p = min(len(b), p + 65536)
+            out = d.decompress(b[p : p + step])
+            crc, size = zlib.crc32(out, crc), size + len(out)
+            p = min(len(b), p + step)
+            step = min(step * 4, 1 << 16)
     except zlib.error:
         return 0
-    return p - len(d.unused_data) - at if d.eof else 0
+    p -= len(d.unused_data)
+    return p + 8 if d.eof and bytes(b[p : p + 8]) == struct.pack("<II", crc, size & 0xFFFFFFFF) else 0
 
 
 def _crc_table(poly: int, bits: int) -> list[int]:
@@ -180,7 +246,7 @@ def _crc_table(poly: int, bits: int) -> list[int]:
 _CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
 
 
-def _flac_header(b: memoryview, p: int, bits: int) -> tuple[int, int, int, int, int] | None:
+def _flac_header(b: Bytes, p: int, bits: int) -> tuple[int, int, int, int, int] | None:
     """Of a frame: end of its header, samples, channel code, bits a sample, number."""
     if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] >> 1 != 0x7C:
         return None
@@ -250,7 +316,7 @@ def _flac_subframes(bits: str, n: int, channels: int, width: int) -> int:
     return pos
 
 
-def _flac_frame(b: memoryview, p: int, bits: int) -> tuple[int, int, int] | None:
+def _flac_frame(b: Bytes, p: int, bits: int) -> tuple[int, int, int] | None:
     """End, samples and number of the frame at p; None where it is broken."""
     head = _flac_header(b, p, bits)
     if head is None or not head[3]:
@@ -275,7 +341,7 @@ def _flac_frame(b: memoryview, p: int, bits: int) -> tuple[int, int, int] | None
     return (end, n, number) if crc == b[end - 2] << 8 | b[end - 1] else None
 
 
-def _flac(b: memoryview, at: int) -> int:
+def _flac(b: Bytes, at: int) -> int:
     """To the end of the last valid frame. Negative (to the end of the bytes at most) where already the first is broken."""
     p, first, bits, total = at + 4, True, 0, 0
     while p + 4 <= len(b):
@@ -292,7 +358,8 @@ def _flac(b: memoryview, at: int) -> int:
         return 0
     if not (p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] >> 2 == 0x3E):
         return 0
-    end, done, number, rest = 0, 0, -1, None
+    start = p  # the first frame says whether blocks are of one size; the others say the same
+    end, done, number = 0, 0, -1
     while True:
         frame = _flac_frame(b, p, bits)
         if frame and (not end or frame[2] > number):
@@ -304,45 +371,63 @@ def _flac(b: memoryview, at: int) -> int:
         if not end or not total:
             break
         # A broken frame: go on with a later one of this stream.
-        rest = rest if rest is not None else bytes(b)
-        stop = rest.find(b"fLaC", end)
-        hits = [x for x in (rest.find(m, p + 1, stop if stop >= 0 else len(rest)) for m in (b"\xff\xf8", b"\xff\xf9")) if x >= 0]
-        if not hits:
+        heads, syncs = b.find(b"fLaC"), b.find(b"\xff\xf8" if b[start + 1] == 0xF8 else b"\xff\xf9")
+        stop, k = bisect_left(heads, end), bisect_left(syncs, p + 1)
+        if k == len(syncs) or stop < len(heads) and syncs[k] >= heads[stop]:
             break
-        p = min(hits)
+        p = syncs[k]
     return end - at if end else at - len(b)
 
 
-def _ogg(b: memoryview, at: int) -> int:
+def _ogg(b: Bytes, at: int) -> int:
     """To the page with which all streams that have begun have ended."""
-    p, running = at, set()
-    while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\x00":
+    ends = b.known.setdefault("ogg", {})
+    if at in ends:
+        return max(ends[at] - at, 0)
+    pages, p = [], at  # (place, end, serial, last of its stream)
+    while p + 27 <= len(b) and p not in ends and bytes(b[p : p + 5]) == b"OggS\x00":
         n = b[p + 26]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
         if p + 27 + n > len(b) or end > len(b):
-            return 0
-        serial = bytes(b[p + 14 : p + 18])
-        running.add(serial)
-        if b[p + 5] & 4:
-            running.discard(serial)
+            break
+        pages.append((p, end, bytes(b[p + 14 : p + 18]), b[p + 5] & 4))
         p = end
-        if not running:
-            return p - at
-    return 0
-
-
-def _mp4(b: memoryview, at: int) -> int:
-    """To the last box, or to the ftyp of a next file."""
-    p, kinds = at, []
-    while 0 <= p and p + 8 <= len(b):
+    # From the last page back: a page needs its stream's next last page, and what stands between needs the same.
+    done, need = {}, {}
+    for k in reversed(range(len(pages))):
+        p, _, serial, last = pages[k]
+        if last:
+            need[serial] = k
+        top, j = need.get(serial), k + 1
+        while top is not None and j <= top:
+            top = max(top, done[j]) if done[j] is not None else None
+            j = done[j] + 1 if top is not None else j
+        done[k] = top
+        ends[p] = pages[top][1] if top is not None else 0
+    return max(ends.get(at, 0) - at, 0)
+
+
+def _mp4(b: Bytes, at: int) -> int:
+    """To the last box, or to the ftyp of a next file; a moov box must be among them."""
+
+    def box(p: int) -> tuple[bytes, int]:
+        if p + 8 > len(b):
+            return b"", 0
         n, kind = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
         if n == 1 and p + 16 <= len(b):
             n = int.from_bytes(b[p + 8 : p + 16], "big")
-        if n < 8 or p + n > len(b) or not kind.isalnum() or kinds and kind == b"ftyp":
-            break
-        kinds.append(kind)
-        p += n
-    return p - at if kinds[:1] == [b"ftyp"] and b"moov" in kinds else 0
+        return (kind, p + n) if n >= 8 and p + n <= len(b) and kind.isalnum() else (b"", 0)
+
+    def to_end(p: int) -> tuple[bool, int]:
+        kind, end = box(p)
+        return (False, end) if kind not in (b"", b"ftyp") else (True, p)
+
+    def to_moov(p: int) -> tuple[bool, int]:
+        kind, end = box(p)
+        return (True, p) if kind == b"moov" else (False, end) if kind not in (b"", b"ftyp") else (True, 0)
+
+    kind, p = box(at) if at >= 0 else (b"", 0)
+    return b.follow("mp4", p, to_end) - at if kind == b"ftyp" and b.follow("moov", p, to_moov) else 0
 
 
 VALIDATORS = {"png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "wav": _riff(b"WAVE"), "webp": _riff(b"WEBP"), "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg, "mp4": _mp4}
@@ -359,7 +444,7 @@ class Sniffer:
 
     def __call__(self, raw: bytes) -> tuple[str | None, int, list[tuple[str, int, int]]]:
         """(kind at the start or None, its length, carved media behind the start as (kind, offset, length))."""
-        view, kind, length, carved, until, open_ = memoryview(raw), None, 0, [], 1, None
+        view, kind, length, carved, until, open_ = Bytes(raw), None, 0, [], 1, None
         hits = sorted({(end - back, k) for end, (k, back) in self.automaton.iter(raw.decode("latin-1")) if end >= back})
         for at, k in hits:
             if at and at < until:
@@ -407,18 +492,23 @@ def wav_chunks(raw: bytes) -> dict[bytes, bytes]:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(media_id, media, declared): each whole text as a WAV file of 8-bit samples; null text: empty."""
+    """(media_id, media, declared): each whole text as a WAV file of 8-bit samples; null text: empty.
+
+    Ids keep their type, null ones too; equal texts give equal bytes; repeated rows give repeated rows;
+    other columns, whatever their names, are ignored; an empty table gives no rows. A text's file must
+    stay under WAV's 4 GB, which Spark's own limit for a value (2 GB) ensures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             media = [to_wav((t or "").encode()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary()), pa.array([UNKNOWN] * len(media))], ["media_id", "media", "declared"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("media_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "media_id long, media binary, declared string")
+    src = docs.select(F.col(id_col).alias("media_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"media_id {src.schema['media_id'].dataType.simpleString()}, media binary, declared string")
 
 
-INSPECTED = "media_id long, declared string, media_type string, corrected boolean, valid_bytes long, carved array<struct<media_type:string,offset:long,length:long,sha256:string>>, media_bytes long, media_sha256 string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+INSPECTED = "declared string, media_type string, corrected boolean, valid_bytes long, carved array<struct<media_type:string,offset:long,length:long,sha256:string>>, media_bytes long, media_sha256 string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
 
 def inspect(media: DataFrame, id_col: str = "media_id", media_col: str = "media", declared_col: str = "declared") -> DataFrame:
@@ -434,15 +524,15 @@ def inspect(media: DataFrame, id_col: str = "media_id", media_col: str = "media"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniff = Sniffer()
         known = set(MIME.values())
-        schema = pa.schema([("media_id", pa.int64()), ("declared", pa.string()), ("media_type", pa.string()), ("corrected", pa.bool_()), ("valid_bytes", pa.int64()), ("carved", pa.list_(pa.struct([("media_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+        schema = pa.schema([("declared", pa.string()), ("media_type", pa.string()), ("corrected", pa.bool_()), ("valid_bytes", pa.int64()), ("carved", pa.list_(pa.struct([("media_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
         for b in chunks(batches, "media"):
             rows = []
-            for key, raw, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for raw, declared in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = raw or b""
                 kind, n, found = sniff(raw)
                 true = MIME[kind] if kind else UNKNOWN if declared is None or declared in known else declared
                 carved = [{"media_type": MIME[k], "offset": at, "length": m, "sha256": hashlib.sha256(raw[at : at + m]).hexdigest()} for k, at, m in found]
-                row = {"media_id": key, "declared": declared, "media_type": true, "corrected": true != declared, "valid_bytes": n, "carved": carved, "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest()}
+                row = {"declared": declared, "media_type": true, "corrected": true != declared, "valid_bytes": n, "carved": carved, "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest()}
                 shape = ""
                 parts = wav_chunks(raw) if kind == "wav" else {}
                 if len(parts.get(b"fmt ", b"")) >= 16:
@@ -455,7 +545,8 @@ def inspect(media: DataFrame, id_col: str = "media_id", media_col: str = "media"
                         shape += f";samples={len(samples)}"
                 row["feature"] = f"{true}{shape};carved=" + ",".join(f"{k}@{at}+{m}" for k, at, m in found)
                 rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            done = pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), *done.columns], ["media_id", *schema.names])
 
-    src = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media"), F.col(declared_col).cast("string").alias("declared"))
-    return src.mapInArrow(run, INSPECTED)
+    src = media.select(F.col(id_col).alias("media_id"), F.col(media_col).alias("media"), F.col(declared_col).cast("string").alias("declared"))
+    return src.mapInArrow(run, f"media_id {src.schema['media_id'].dataType.simpleString()}, {INSPECTED}")

@@ -1,6 +1,7 @@
 """N-gram Jaccard join: all links of similarity >= threshold between texts, with Bayesian pruning.
 
-A text is the set of its 5-word shingles. Copies (same word sequence) are one node. A node has 128
+A text is the set of its 5-word shingles. Copies (same word sequence, by a 128-bit digest of the
+words' bytes) are one node; a shingle has a 64-bit name made of its words' digests. A node has 128
 MinHash values in 32 bands of 4; nodes meet in a bucket for each band they share, and two texts of
 similarity 0.8 share none with probability (1 - 0.8**4)**32 < 5e-8. Buckets with the same members
 are one. A pair counts only in its first common band, so nothing needs to be made distinct.
@@ -17,6 +18,7 @@ components of those stars, by rounds of large and small stars in the shared fold
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACED, U64, chunks, drop, mix, prefix, range_hash, row_key, table, text_bytes, word_hashes, word_spans
+from quire.llm.common import SPACED, U64, Part, chunks, drop, mix, parts, row_key, spaced, table, word_names
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 32, 4, 32
@@ -34,21 +36,38 @@ CHUNK_MEMBERS, CHUNK_WORDS = 1024, 1 << 20
 
 _A = (mix(np.arange(1, HASHES + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _X = (mix(np.arange(1001, HASHES + 1001, dtype=U64)) >> U64(32)).astype(np.uint32)
-_LANE = U64(0x2545F4914F6CDD1D)
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 # ---------------------------------------------------------------- shingles and signatures
 
 
-def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles (with repeats), and where each text's begin. A shorter text, if not empty, is one shingle."""
+def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all shingles (with repeats), and where each text's begin. A shorter text, if not empty, is one shingle.
+
+    base tells how many words of a text stand before those given: behind some, a rest too short for a
+    shingle is none.
+    """
     n = np.diff(first)
-    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1) if base is None else np.where(base == 0, np.minimum(n, 1), 0))
     begin = np.concatenate([[0], np.cumsum(count)])
     doc = np.repeat(np.arange(len(n)), count)
     at = first[doc] + np.arange(begin[-1]) - begin[doc]
     end = np.minimum(at + size, first[doc + 1])
-    return mix(range_hash(prefix(words), at, end) + (end - at).astype(U64)), begin
+    h = mix(words[at] + _STEP) if len(at) else np.zeros(0, U64)
+    for j in range(1, size):
+        more = at + j < end
+        if more.all():
+            h = mix(h * _STEP + words[at + j])
+        else:
+            h[more] = mix(h[more] * _STEP + words[at[more] + j])
+    return h, begin
+
+
+def part_shingles(p: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """shingles() of a part, and its words as spaced() gives them."""
+    buf, at = spaced(p.data, p.s, p.e)
+    return *shingles(word_names(buf, at), p.first, SHINGLE, p.base), buf, at
 
 
 def signatures(shingle: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -164,19 +183,22 @@ def _find(parent: list[int], i: int) -> int:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, node, words, sig): a node is the digest of a text's words, one space apart; a text without words has none."""
     for b in chunks(batches):
-        data, off = text_bytes(b.column(1))
-        s, e, first = word_spans(data, off, SPACED)
-        h = word_hashes(data, s, e)
-        shingle, begin = shingles(h, first)
-        sig = signatures(shingle, begin)
-        n = np.diff(first)
-        full = n > 0
-        lanes = np.stack([mix(range_hash(prefix(v), first[:-1], first[1:]) + n.astype(U64)) for v in (h, mix(h + _LANE))], 1)
-        names = [lanes[i].tobytes() if full[i] else None for i in range(len(n))]
-        where = np.cumsum(full) - 1
-        sigs = [sig[where[i]].tobytes() if full[i] else None for i in range(len(n))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], ["rid", "node", "words", "sig"])
+        words, sig = np.zeros(b.num_rows, np.int64), np.full((b.num_rows, HASHES), 0xFFFFFFFF, np.uint32)
+        digests = [blake2b(digest_size=16) for _ in range(b.num_rows)]
+        for p in parts(b.column(1), SPACED, SHINGLE - 1):
+            shingle, begin, buf, at = part_shingles(p)
+            full = p.rows[np.diff(begin) > 0]
+            sig[full] = np.minimum(sig[full], signatures(shingle, begin))
+            words[p.rows] += p.own
+            raw = memoryview(buf)
+            for row, x, y in zip(p.rows.tolist(), at[p.first[:-1]].tolist(), at[p.first[:-1] + p.own].tolist(), strict=True):
+                digests[row].update(raw[x:y])
+        some = (words > 0).tolist()
+        names = [d.digest() if ok else None for d, ok in zip(digests, some, strict=True)]
+        sigs = [sig[i].tobytes() if ok else None for i, ok in enumerate(some)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(words), pa.array(sigs, pa.binary())], ["rid", "node", "words", "sig"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -238,13 +260,15 @@ def _needed(least: dict[int, int]):
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's shingle set beside each tile that needs it."""
     for b in chunks(batches):
-        data, off = text_bytes(b.column(b.schema.get_field_index("text")))
-        s, e, first = word_spans(data, off, SPACED)
-        shingle, begin = shingles(word_hashes(data, s, e), first)
+        found: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
+        for p in parts(b.column(b.schema.get_field_index("text")), SPACED, SHINGLE - 1):
+            shingle, begin, _, _ = part_shingles(p)
+            for row, x, y in zip(p.rows.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                found[row].append(np.unique(shingle[x:y]))
         tiles = b.column(b.schema.get_field_index("tiles"))
         at = np.asarray(tiles.offsets)
         count = np.diff(at)
-        sets = [np.unique(shingle[begin[i] : begin[i + 1]]).tobytes() for i in range(b.num_rows)]
+        sets = [(f[0] if len(f) == 1 else np.unique(np.concatenate(f))).tobytes() for f in found]
         flat = tiles.flatten()
         row = np.repeat(np.arange(b.num_rows), count)
         pick = lambda n: b.column(b.schema.get_field_index(n)).take(pa.array(row))
@@ -316,7 +340,7 @@ def _classes(src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id, node) of all rows, and (node, copies, root, links, texts) of all nodes."""
     least = least_matches(threshold, TOLERANCE)
     ids = src.select("rid", "text", "doc_id")
-    rows = table(ids.select("rid", "text").mapInArrow(_nodes, "rid long, node binary, words long, sig binary"), "rows")
+    rows = table(ids.select("rid", "text").mapInArrow(_nodes, "rid binary, node binary, words long, sig binary"), "rows")
     nodes = table(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid"), F.first("words").alias("words"), F.first("sig").alias("sig")), "nodes")
     width = 4 * ROWS
     bands = nodes.select("node", "words", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))).alias("band", "bucket"))
@@ -328,11 +352,13 @@ def _classes(src: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     tiles = members.select("node", "bucket", "band", "chunk", other.alias("o")).select("node", "bucket", F.least("chunk", "o").alias("low"), F.greatest("chunk", "o").alias("high"), "band", "chunk")
     tiles = tiles.join(nodes.select("node", "copies", "sig", F.col("rid").alias("rep")), "node")
     by_tile = lambda df: df.repartition(*_TILE).sortWithinPartitions(*_TILE, "node")
-    kept = "node binary, bucket long, low int, high int, band int, chunk int, copies long, sig binary, rep long"
+    kept = "node binary, bucket long, low int, high int, band int, chunk int, copies long, sig binary, rep binary"
     need = table(by_tile(tiles.select(*[f.split()[0] for f in kept.split(", ")])).mapInArrow(_needed(least), kept), "needed")
     drop(met)
     where = need.groupBy(F.col("rep").alias("rid")).agg(F.first("node").alias("node"), F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.collect_list(F.struct(*_TILE, "chunk")).alias("tiles"))
-    sets = ids.select("rid", "text").join(where, "rid").mapInArrow(_set_rows, "bucket long, band int, low int, high int, chunk int, node binary, copies long, sig binary, shingles binary")
+    # rows that repeat a chosen one (same key) would ship its set again; the join has dealt them by that key already
+    chosen = ids.select("rid", "text").join(where, "rid").dropDuplicates(["rid"])
+    sets = chosen.select("rid", "text", "node", "copies", "sig", "tiles").mapInArrow(_set_rows, "bucket long, band int, low int, high int, chunk int, node binary, copies long, sig binary, shingles binary")
     found = table(by_tile(sets).mapInArrow(_linked(least, threshold), "node binary, links long, texts long, peer binary"), "found")
     drop(need)
     roots = components(found.select(F.col("node").alias("u"), F.col("peer").alias("v")))
@@ -362,8 +388,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     threshold; a text of fewer words, but not none, is one shingle. Classes are the components of
     links; class_id is the smallest doc_id of the class. n_links counts the other rows linked to a
     row, copies included; n_texts the different texts among them. Null, empty or blank texts link
-    to nothing and are classes of their own. Repeated rows count as copies of each other. Other
-    columns are ignored; an empty table gives no rows.
+    to nothing and are classes of their own. Repeated rows count as copies of each other. A null id
+    is left out of the choice of class_id where the class has another. Very long texts are worked on
+    in parts. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     m = table(_members(_source(docs, id_col, text_col), threshold), "members")
     names = table(m.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "names")
@@ -372,7 +399,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id. Rows without words all stay."""
+    """docs with one row of each class: that of the smallest doc_id, of equal ones that of the smallest row key.
+
+    A row that repeats (same id, same text) is a copy and goes. Null, empty and blank texts all stay,
+    repeated ones too; a null id is the smallest; very long texts are worked on in parts; an empty
+    table stays empty; columns may have any names, those used inside included.
+    """
     m = _members(_source(docs, id_col, text_col), threshold)
     first = m.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("one")).select("one.rid")
     first = table(first, "survivors")

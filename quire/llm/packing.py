@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +28,13 @@ from quire.llm.common import chunks
 
 #: Default parameters: tokens a sequence, the id that closes a document, documents packed together.
 SEQ_LEN, CLOSING_ID, GROUP_DOCS = 1024, 0, 8192
+#: Characters encoded at once, about.
+SEGMENT = 1 << 20
+_CUT = re.compile("[a-z](?= [a-z])")
 #: The string that the vocabulary file declares special, and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
 def default_vocabulary() -> str:
@@ -66,7 +70,10 @@ class Encoder:
             self.slow = Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
+        return np.concatenate([np.array(self._ids(part), "<u4") for part in segments(text)])
+
+    def _ids(self, text: str) -> list[int]:
         if self.fast is None:
             return self.exact(text)
         try:
@@ -76,10 +83,27 @@ class Encoder:
                 ids.append(SPECIAL_ID)
                 ids += self.fast.encode_ordinary(part)
             return ids
-        except BaseException as e:  # the fast library panics on some very long runs
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return self.exact(text)
+        except BaseException as e:
+            # the fast library panics on some very long runs; that exception derives from BaseException alone
+            if isinstance(e, Exception) and not isinstance(e, MemoryError) or type(e).__name__ == "PanicException":
+                return self.exact(text)
+            raise
+
+
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """A long text in stretches that give its ids one after another.
+
+    It is cut only where a letter, a space and a letter of a-z follow each other: the vocabulary's
+    pattern always ends a token's run before that space, whatever stands around.
+    """
+    at = 0
+    while len(text) - at > size:
+        m = _CUT.search(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
 
 
 class Balancer:
@@ -163,6 +187,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, clo
     seq = (context.partitionId() if context else 0) << 40
     full_cost = linear * seq_len + quadratic * seq_len * seq_len
     rows: list[list] = []
+    id_type = None
     rest: list[tuple] = []  # (doc_id, start, doc_tokens, ids of the part shorter than a sequence)
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -176,15 +201,14 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, clo
         rest.clear()
         if rows:
             cols = zip(*rows, strict=True)
-            kinds = [pa.int64()] * 7 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            kinds = [id_type] + [pa.int64()] * 6 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", *[f.split()[0] for f in SCHEMA.split(", ")]])
         rows = []
 
     for batch in chunks(batches):
+        id_type = batch.column(0).type
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text or "")
-            ids.append(closing)
-            ids = np.array(ids, dtype="<u4")
+            ids = np.append(encode(text or ""), np.uint32(closing)).astype("<u4")
             n = len(ids)
             whole = n - n % seq_len
             for start in range(0, whole, seq_len):
@@ -200,11 +224,12 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, clo
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, seq_len: int = SEQ_LEN, closing_id: int = CLOSING_ID, linear: float = 1.0, quadratic: float = 1.0 / SEQ_LEN, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost.
 
-    Null or empty text: the closing id alone. Null ids are kept. Repeated rows are packed each on
+    Null or empty text: the closing id alone. Ids keep their type, null ones too. Repeated rows are packed each on
     its own. A text of any length is cut into as many pieces as it needs. An empty table: no rows.
     Other columns are ignored. cost is the sequence's cost with this piece and those before it.
     vocabulary is a tokenizers file; it is read on the executors, never copied.
     """
     path = vocabulary or default_vocabulary()
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(lambda it: pack_batches(it, path, seq_len, closing_id, linear, quadratic, group_docs), SCHEMA)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(lambda it: pack_batches(it, path, seq_len, closing_id, linear, quadratic, group_docs), f"doc_id {kind}, {SCHEMA}")

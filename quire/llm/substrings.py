@@ -2,23 +2,28 @@
 
 Each document's words become symbols, and rounds rename them: runs of one symbol get one name, then
 pairs whose first symbol falls in the left class and whose second falls in the right class get one
-name. Names and classes are hashes of the content, so every task names the same runs and pairs
+name. Names and classes are functions of the content, so every task names the same runs and pairs
 alike without exchanging a dictionary, and equal substrings get equal symbols inside, whatever
 stands around them.
 
 What a window of words has inside for certain is found by dropping, in every round, what could be
 drawn into a neighbour outside: the first and the last run, a leading right symbol, a trailing left
 symbol. The window's anchor is the longest symbol left in the last round that leaves any (of equal
-ones that of smallest name); equal windows have the same anchor at the same place. Neighbouring windows on one anchor make one row
-with a hash of all the words they see. In Spark, then:
+ones that of smallest name); equal windows have the same anchor at the same place. Neighbouring
+windows on one anchor make one row. Names only bring rows together; whether their words are equal is
+verified on a 128-bit digest of the words' bytes, so unequal words under one name change nothing. In
+Spark, then:
 
 1. Adjacent rows make stretches, cut where the names say so. Stretches whose words all occur again
    are repeats entirely; one of each kind goes on, for the edges of others.
 2. Of the other stretches' rows those whose anchor name occurs once can hold no repeat and go (most of
-   them). Where all rows of a name have one context, all of them are repeats, entirely.
-3. Where one name stands in different contexts (the edges of repeats), rows whose whole context
-   occurs again are repeats entirely, and each distinct context is opened into its windows, which
-   are compared by 128-bit hashes.
+   them). Where all rows of a name have the same words, all of them are repeats, entirely.
+3. Where one name stands among different words (the edges of repeats), rows whose words all occur
+   again are repeats entirely, and each distinct stretch of words is opened into its windows, which
+   are compared by the digests of their words.
+
+A very long text is taken in parts that overlap by a window less one word; a row that a part's end
+cuts shares its name with whole ones, so step 3 settles it.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACED, U64, chunks, drop, mix, owner, prefix, range_hash, row_key, signed, table, text_bytes, word_hashes, word_spans
+from quire.llm.common import SPACED, U64, Part, chunks, drop, mix, owner, parts, range_digests, row_key, signed, spaced, table, word_names
 
 #: Words of a window; rounds; rounds that name runs (single words repeat, later names rarely do). After four
 #: rounds a window of 35 words still holds several symbols of three words on average, among which neighbouring
@@ -40,7 +45,7 @@ WINDOW, ROUNDS, RUN_ROUNDS = 35, 4, (1,)
 #: Anchor rows of a stretch at most.
 MOST = 64
 
-_RUN, _PAIR_A, _PAIR_B, _LEVEL, _SECOND = U64(0x8CB92BA72F3D8DD7), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA24BAED4963EE407), U64(0x2545F4914F6CDD1D)
+_RUN, _PAIR_A, _PAIR_B, _LEVEL = U64(0x8CB92BA72F3D8DD7), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA24BAED4963EE407)
 
 
 def parse_round(name: np.ndarray, brk: np.ndarray, level: int, left: np.ndarray, right: np.ndarray):
@@ -101,13 +106,13 @@ def smallest(name: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
 
 
 def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Rows (document, first window, windows, name, context hash) of all documents of a chunk."""
+    """Rows (document, first window, windows, name) of all documents of a chunk."""
     doc = owner(first, len(words))
     end = np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(np.arange(len(words)) + window <= end)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U64), z.astype(U64)
+        return z, z, z, z.astype(U64)
     brk = np.zeros(len(words), bool)
     brk[first[:-1][np.diff(first) > 0]] = True
     name, start = words, np.arange(len(words))
@@ -136,15 +141,7 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(at)))
     a = at[head]
-    context = range_hash(prefix(words), a, a + count + window - 1)
-    context = mix(context + mix(count.astype(U64) * _PAIR_A + (place[head] - a).astype(U64)))
-    return doc[a], a - first[doc[a]], count, key[head], context
-
-
-def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, off = text_bytes(col)
-    s, e, first = word_spans(data, off, SPACED)
-    return data, s, e, first, off
+    return doc[a], a - first[doc[a]], count, key[head]
 
 
 # ---------------------------------------------------------------- Spark
@@ -166,23 +163,24 @@ def stretches(doc: np.ndarray, a: np.ndarray, count: np.ndarray, key: np.ndarray
 
 
 def _anchor_rows(window: int):
-    names = ["rid", "key", "ctx", "a", "n", "parts"]
+    names = ["rid", "key", "w1", "w2", "a", "n", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            data, s, e, first, _ = words_of(b.column(1))
-            h = word_hashes(data, s, e)
-            doc, a, n, key, ctx = anchors(h, first, window)
-            head = stretches(doc, a, n, key)
-            ends = np.append(head[1:], len(doc)) if len(head) else head
-            total = np.add.reduceat(n, head) if len(head) else n
-            begin = first[doc[head]] + a[head]
-            whole = mix(range_hash(prefix(h), begin, begin + total + window - 1) + total.astype(U64)) if len(head) else ctx
-            rid = np.asarray(b.column(0))[doc[head]]
-            small = lambda x: pa.array(x.astype(np.int32))
-            parts = pa.StructArray.from_arrays([pa.array(signed(key)), pa.array(signed(ctx)), small(a), small(n)], ["key", "ctx", "a", "n"])
-            lists = pa.ListArray.from_arrays(small(np.concatenate([[0], ends])), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(signed(key[head])), pa.array(signed(whole)), small(a[head]), small(total), lists], names)
+            for p in parts(b.column(1), SPACED, window - 1):
+                buf, at = spaced(p.data, p.s, p.e)
+                doc, a, n, key = anchors(word_names(buf, at), p.first, window)
+                begin = p.first[doc] + a
+                words = range_digests(buf, at[begin], at[begin + n + window - 1])
+                head = stretches(doc, a, n, key)
+                total = np.add.reduceat(n, head) if len(head) else n
+                whole = range_digests(buf, at[begin[head]], at[begin[head] + total + window - 1])
+                small = lambda x: pa.array(x.astype(np.int32))
+                a = a + p.base[doc]
+                rows = pa.StructArray.from_arrays([pa.array(signed(key)), pa.array(words[:, 0]), pa.array(words[:, 1]), small(a), small(n)], ["key", "w1", "w2", "a", "n"])
+                lists = pa.ListArray.from_arrays(small(np.append(head, len(doc))), rows)
+                rid = b.column(0).take(pa.array(p.rows[doc[head]]))
+                yield pa.RecordBatch.from_arrays([rid, pa.array(signed(key[head])), pa.array(whole[:, 0]), pa.array(whole[:, 1]), small(a[head]), small(total), lists], names)
 
     return run
 
@@ -192,44 +190,44 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            data, s, e, first, _ = words_of(b.column(1))
-            h = word_hashes(data, s, e)
             ranges = b.column(2)
             count = np.diff(np.asarray(ranges.offsets)) if len(ranges) else np.zeros(0, np.int64)
             flat = ranges.flatten()
-            a, n = np.asarray(flat.field("a")).astype(np.int64), np.asarray(flat.field("n")).astype(np.int64)
-            doc = np.repeat(np.repeat(np.arange(b.num_rows), count), n)
-            pos = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            fits = pos + window <= first[doc + 1] - first[doc]  # rows of one key differ only by a collision
-            doc, pos = doc[fits], pos[fits]
-            at = first[doc] + pos
-            w1 = mix(range_hash(prefix(h), at, at + window))
-            w2 = mix(range_hash(prefix(mix(h + _SECOND)), at, at + window))
-            rid = np.asarray(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(rid[doc]), pa.array(pos.astype(np.int32))], names)
+            row = np.repeat(np.arange(b.num_rows), count)
+            low = np.asarray(flat.field("a")).astype(np.int64)
+            high = low + np.asarray(flat.field("n"))
+            for p in parts(b.column(1), SPACED, window - 1):
+                a = np.maximum(low - p.base[row], 0)
+                n = np.maximum(np.minimum(high - p.base[row], p.own[row]) - a, 0)
+                pos = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                doc = np.repeat(row, n)
+                buf, at = spaced(p.data, p.s, p.e)
+                begin = p.first[doc] + pos
+                words = range_digests(buf, at[begin], at[begin + window])
+                yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), b.column(0).take(pa.array(p.rows[doc])), pa.array((pos + p.base[doc]).astype(np.int32))], names)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans): for each row key of docs (rid, text) the word ranges [a, b) that repeated windows cover."""
-    part = "array<struct<key:bigint,ctx:bigint,a:int,n:int>>"
-    long = table(docs.mapInArrow(_anchor_rows(window), f"rid long, key long, ctx long, a int, n int, parts {part}"), "stretches")
-    again = long.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("rid", "a")).alias("one")).where("m > 1")
-    again = table(again.select("key", "ctx", "one"), "again")
-    marked = table(long.join(again.hint("merge"), ["key", "ctx"], "left").select("rid", "a", "n", F.col("one").isNotNull().alias("twice"), F.when(F.col("one").isNull() | (F.col("one") == F.xxhash64("rid", "a")), F.col("parts")).alias("parts")), "marked")
+    part = "array<struct<key:bigint,w1:bigint,w2:bigint,a:int,n:int>>"
+    long = table(docs.mapInArrow(_anchor_rows(window), f"rid binary, key long, w1 long, w2 long, a int, n int, parts {part}"), "stretches")
+    again = long.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("rid", "a")).alias("one")).where("m > 1")
+    again = table(again.select("w1", "w2", "one"), "again")
+    marked = table(long.join(again.hint("merge"), ["w1", "w2"], "left").select("rid", "a", "n", F.col("one").isNotNull().alias("twice"), F.when(F.col("one").isNull() | (F.col("one") == F.xxhash64("rid", "a")), F.col("parts")).alias("parts")), "marked")
     drop(long, again)
     rows = marked.where("parts is not null").select("rid", F.inline("parts"))
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("m > 1")
-    shared = table(keys.select("key", (F.col("low") == F.col("high")).alias("same")), "keys")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[f(w).alias(f"{f.__name__}_{w}") for f in (F.min, F.max) for w in ("w1", "w2")]).where("m > 1")
+    shared = table(keys.select("key", ((F.col("min_w1") == F.col("max_w1")) & (F.col("min_w2") == F.col("max_w2"))).alias("same")), "keys")
     some = table(rows.join(shared.hint("merge"), "key"), "shared")
     drop(shared)
     mixed = some.where("not same")
-    contexts = table(mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a", "n")).alias("one")), "contexts")
-    met = mixed.join(contexts.where("m > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
+    contexts = table(mixed.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a", "n")).alias("one")), "contexts")
+    met = mixed.join(contexts.where("m > 1").select("w1", "w2"), ["w1", "w2"], "left_semi")
     whole = some.where("same").unionByName(met).select("rid", "a", "n").unionByName(marked.where("twice").select("rid", "a", "n"))
     open_ = contexts.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.a", "one.n")).alias("ranges"))
-    windows = table(docs.join(open_, "rid").mapInArrow(_window_rows(window), "w1 long, w2 long, rid long, a int").distinct(), "windows")
+    windows = table(docs.join(open_, "rid").mapInArrow(_window_rows(window), "w1 long, w2 long, rid binary, a int").distinct(), "windows")
     twice = table(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2"), "twice")
     edges = windows.join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("rid", "a", (F.col("a") + window).alias("b"))
     both = whole.select("rid", "a", (F.col("a") + F.col("n") + (window - 1)).alias("b")).unionByName(edges)
@@ -238,21 +236,28 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return spans
 
 
-def _covered(spans: pa.ListArray, first: np.ndarray, total: int) -> np.ndarray:
-    """Words under any span."""
-    edge = np.zeros(total + 1, np.int64)
-    offsets = np.asarray(spans.offsets)
-    count = np.diff(offsets)
+def _covered(p: Part, spans: pa.ListArray) -> np.ndarray:
+    """For each own word of a part whether any span of its text covers it."""
+    begin = np.concatenate([[0], np.cumsum(p.own)])
+    edge = np.zeros(begin[-1] + 1, np.int64)
     flat = spans.flatten()
-    if len(flat):
-        base, end = np.repeat(first[:-1], count), np.repeat(first[1:], count)
-        np.add.at(edge, np.minimum(base + np.asarray(flat.field("a")), end), 1)
-        np.add.at(edge, np.minimum(base + np.asarray(flat.field("b")), end), -1)
+    row = np.repeat(np.arange(len(spans)), np.diff(np.asarray(spans.offsets)))
+    for field, by in (("a", 1), ("b", -1)):
+        np.add.at(edge, begin[row] + np.clip(np.asarray(flat.field(field)) - p.base[row], 0, p.own[row]), by)
     return np.cumsum(edge)[:-1] > 0
 
 
-def _kept(raw: memoryview, s: list[int], e: list[int], keep: np.ndarray) -> bytes:
-    return b" ".join([raw[s[i] : e[i]] for i in np.flatnonzero(keep).tolist()])
+def _pieces(b: pa.RecordBatch, text: str, spans: str) -> Iterator[tuple[int, np.ndarray, memoryview, np.ndarray, np.ndarray]]:
+    """For each text, part by part: (row, covered words, bytes, words' first and end bytes)."""
+    for p in parts(b.column(b.schema.get_field_index(text)), SPACED):
+        gone = _covered(p, b.column(b.schema.get_field_index(spans)))
+        raw = memoryview(np.ascontiguousarray(p.data))
+        for row, x, y in zip(p.rows.tolist(), p.first[:-1].tolist(), p.first[1:].tolist(), strict=True):
+            yield row, gone[x:y], raw, p.s[x:y], p.e[x:y]
+
+
+def _kept(raw: memoryview, s: np.ndarray, e: np.ndarray, keep: np.ndarray) -> bytes:
+    return b" ".join([raw[a:z] for a, z in zip(s[keep].tolist(), e[keep].tolist(), strict=True)])
 
 
 def _with_spans(docs: DataFrame, text_col: str, id_col: str, window: int) -> tuple[DataFrame, list[str]]:
@@ -270,21 +275,23 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     A word goes if it is covered by a window of `window` words whose sequence starts anywhere else
     too, same document included; all windows are judged on the input. Rows that repeat are copies
     of each other, so all their windows go. Null and empty texts have no words; texts shorter than
-    a window lose nothing; other columns are ignored; an empty table gives none.
+    a window lose nothing; other columns, whatever their names, are ignored; an empty table gives no
+    rows. A very long text is worked on in parts, so memory stays a few times its bytes.
     """
     joined, fields = _with_spans(docs.select(id_col, text_col), text_col, id_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            data, s, e, first, _ = words_of(b.column(1))
-            gone = _covered(b.column(2), first, len(s))
-            raw, s, e = data.tobytes(), s.tolist(), e.tolist()
-            digests, removed = [], []
-            for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                mine = gone[x:y]
-                removed.append(int(mine.sum()))
-                digests.append(hashlib.sha256(_kept(raw, s[x:y], e[x:y], ~mine)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            digests = [hashlib.sha256() for _ in range(b.num_rows)]
+            words, removed, some = ([0] * b.num_rows for _ in range(3))
+            for row, gone, raw, s, e in _pieces(b, "text", "spans"):
+                lost = int(gone.sum())
+                if lost < len(gone):
+                    if some[row]:
+                        digests[row].update(b" ")
+                    digests[row].update(_kept(raw, s, e, ~gone))
+                words[row], removed[row], some[row] = words[row] + len(gone), removed[row] + lost, some[row] + len(gone) - lost
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array([d.hexdigest() for d in digests])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     src = joined.select(F.col("c0").alias("doc_id"), F.col("c1").alias("text"), "spans")
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -292,7 +299,12 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with repeated passages taken out: a text that loses words keeps the others, joined by one space; all else stays."""
+    """docs with repeated passages taken out: a text that loses words keeps the others, joined by one space; all else stays.
+
+    Repeated rows, and equal texts of a window or more, lose all that their windows cover and stay as
+    rows (a text may become empty). Null, empty and short texts stay as they are; null ids are fine;
+    an empty table stays empty; columns may have any names, those used inside included.
+    """
     joined, fields = _with_spans(docs, text_col, id_col, window)
     at = fields.index(text_col)
 
@@ -300,14 +312,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         for b in chunks(batches):
             names = [n for n in b.schema.names if n != "spans"]
             cols = dict(zip(b.schema.names, b.columns, strict=True))
-            data, s, e, first, _ = words_of(cols["text"])
-            gone = _covered(cols["spans"], first, len(s))
-            if gone.any():
-                raw, s, e = data.tobytes(), s.tolist(), e.tolist()
+            kept: dict[int, list[bytes]] = {}
+            losing = set()
+            touched = set(np.flatnonzero(np.diff(np.asarray(cols["spans"].offsets))).tolist()) if b.num_rows else set()
+            for row, gone, raw, s, e in _pieces(b, "text", "spans") if touched else ():
+                if row in touched:
+                    losing |= {row} if gone.any() else set()
+                    if not gone.all():
+                        kept.setdefault(row, []).append(_kept(raw, s, e, ~gone))
+            if losing:
                 texts = cols["text"].to_pylist()
-                for d in np.unique(owner(first, len(gone))[gone]).tolist():
-                    x, y = int(first[d]), int(first[d + 1])
-                    texts[d] = _kept(raw, s[x:y], e[x:y], ~gone[x:y]).decode()
+                for row in losing:
+                    texts[row] = b" ".join(kept.get(row, [])).decode()
                 cols["text"] = pa.array(texts, cols["text"].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 

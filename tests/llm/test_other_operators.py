@@ -5,6 +5,7 @@ import hashlib
 import io
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -428,3 +429,37 @@ def test_url_copies_do_not_fill_the_sample(spark):
     model = urls.train(spark.createDataFrame(rows + hot, "url string, label int"), max_rows=201)
     out = urls.judge(spark.createDataFrame(list(enumerate(u for u, _ in rows)), "page_id long, url string"), model, rules=[]).collect()
     assert sum((r["verdict"] == "block") == bool(rows[r["page_id"]][1]) for r in out) == 200
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1.4 ", b"PK\x03\x04", b"GIF89a!\x01\x01\x01", b"OggS\x00" + bytes(22), b"\xff\xd8\xff\xda\x00\x02", b"fLaC", b"\0\0\0\x10mdat\0\0\0\x0cftyp", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x1f\0", b"BM"])
+def test_media_many_magics_cost_one_walk(unit):
+    from quire.llm.media import Sniffer
+
+    sniff, took = Sniffer(), []
+    for n in (100_000, 800_000):
+        raw = b"\x01" + unit * (n // len(unit))
+        start = time.perf_counter()
+        sniff(raw)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0] + 0.5, "eight times the bytes, about eight times the time"
+
+
+def test_media_gzip_headers_and_trailers():
+    from quire.llm.media import Bytes, _gzip
+
+    plain = gzip.compress(b"some words " * 9000)
+    named = plain[:3] + b"\x1a" + plain[4:10] + b"name.txt\0"
+    named += b"said\0"
+    whole = named + struct.pack("<H", zlib.crc32(named) & 0xFFFF) + plain[10:]
+    assert _gzip(Bytes(whole + b"tail"), 0) == len(whole) and gzip.decompress(whole) == b"some words " * 9000
+    for broken in (whole[:-1], whole[:3] + b"\xfa" + whole[4:], whole[:-8] + bytes(8), named + b"\0\0" + plain[10:], b"\x1f\x8b\x08"):
+        assert _gzip(Bytes(broken), 0) == 0
+
+
+def test_media_ids_of_any_type(spark):
+    from quire.llm.media import inspect, store
+
+    rows = [("a-1", "x"), ("a-1", "x"), (None, None), ("", "")]
+    out = inspect(store(spark.createDataFrame([(*r, 1, b"") for r in rows], "doc_id string, text string, media_id int, media binary"))).collect()
+    assert sorted(str(r["media_id"]) for r in out) == ["", "None", "a-1", "a-1"]
+    assert {r["n_bytes"] for r in out if r["media_id"] == "a-1"} == {1} and len({r["media_sha256"] for r in out}) == 2

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,7 +228,7 @@ def test_decontamination_equals_brute_force(spark, docs, monkeypatch):
 
     assert sorted(got(), key=str) == sorted(want, key=str)
     assert sorted(got(shard_bytes=500), key=str) == sorted(want, key=str), "many shards"
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(decontaminate, "BLOCKS_A_PASS", 2)
     blocks = decontaminate.blocks_of
     monkeypatch.setattr(decontaminate, "blocks_of", lambda b: blocks(b, limit=300))
     assert sorted(got(), key=str) == sorted(want, key=str), "many blocks of the benchmark"
@@ -289,9 +290,7 @@ def test_token_counts_tie_rules():
         mine = Counter(None, pieces)
         mine.automaton.unknown = Automaton([("<unk>", 0.0), *pieces]).unknown
         texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 90))) for _ in range(30)]
-        data = "".join(texts).encode()
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        assert mine(np.frombuffer(data, np.uint8), off)[0].tolist() == [len(ref.encode(t).ids) for t in texts]
+        assert mine(pa.array(texts))[0].tolist() == [len(ref.encode(t).ids) for t in texts]
 
 
 def test_packing_round_trip(docs):
@@ -351,8 +350,27 @@ def test_packing_special_string_and_long_runs():
     from quire.llm.packing import Encoder, default_vocabulary
 
     encode = Encoder(default_vocabulary())
-    for t in ("<|endoftext|>a<|endoftext|>", " " * 200_000 + "x", "a" * 100_000, "\n\n \t é日"):
-        assert encode(t) == encode.exact(t)
+    for t in ("<|endoftext|>a<|endoftext|>", " " * 200_000 + "x", "a" * 100_000, "\n\n \t é日", ""):
+        assert encode(t).tolist() == encode.exact(t)
+
+
+def test_packing_segments_give_the_same_ids():
+    from quire.llm import packing
+
+    encode = packing.Encoder(packing.default_vocabulary())
+    rng = random.Random(8)
+    for _ in range(40):
+        t = "".join(rng.choice(["a", "b", " ", " ", "the", " cat sat", "'s", "'", "é", "1", "\n", ".", "<|endoftext|>", "日"]) for _ in range(400))
+        parts = list(packing.segments(t, 7))
+        assert "".join(parts) == t and len(parts) > 3
+        assert [i for x in parts for i in encode.exact(x)] == encode.exact(t)
+
+
+def test_packing_ids_of_any_type(spark):
+    from quire.llm.packing import pack
+
+    rows = pack(spark.createDataFrame([("a-1", "x y"), ("a-1", "x y"), (None, None)], "doc_id string, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["None", "a-1", "a-1"] and sorted(r["doc_tokens"] for r in rows) == [1, 3, 3]
 
 
 def test_quality_learns_and_scores_whole_texts(spark):
@@ -432,3 +450,127 @@ def test_empty_tables(spark, empty, docs):
     assert decontaminate.find(empty, bench).count() == 0
     assert decontaminate.find(docs, bench).where(F.size("items") > 0).count() == 0
     assert decontaminate.clean(docs, bench).exceptAll(docs).count() == 0
+
+
+def _thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_arithmetic_confuses(spark):
+    """Two words of 1,024 letters that sum up alike modulo powers of two, whatever the base, are different words."""
+    from quire.llm import counts, decontaminate, neardup, substrings
+
+    one = _thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    line = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{line} {one}"), (2, f"{line} {two}"), (3, one), (4, two)], "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in substrings.removal(docs).collect())
+    assert {r["doc_id"]: r["n_links"] for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+    bench = spark.createDataFrame([(7, two)], "item_id long, text string")
+    assert {r["doc_id"]: len(r["items"]) for r in decontaminate.find(docs, bench).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+    pieces = [("▁a", -1.0), ("a", -2.0), ("b", -2.0), ("abba", -3.0), ("ba", -2.5), ("baabab", -3.5)]
+    both = {r["doc_id"]: r["n_tokens"] for r in counts.count_tokens(docs.where("doc_id > 2"), pieces=pieces).collect()}
+    apart = {i: counts.count_tokens(docs.where(f"doc_id = {i}"), pieces=pieces).first()["n_tokens"] for i in (3, 4)}
+    assert both == apart
+
+
+def test_sequences_that_arithmetic_confuses(spark):
+    """The same with words in place of letters, over whole texts and long stretches."""
+    from quire.llm import neardup, substrings
+
+    one = _thue_morse(4096)
+    texts = [" ".join(one), " ".join(one.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(i, WORD.findall(t)) for i, t in enumerate(texts)]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
+    for r in substrings.removal(docs).collect():
+        w, gone = rows[r["doc_id"]][1], set()
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone |= set(range(k, k + 35))
+        assert r["n_removed"] == len(gone)
+    assert {r["n_texts"] for r in neardup.classes(docs).collect()} == {1}, "equal sets of shingles, different texts"
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    from quire.llm.counts import count_tokens
+
+    rng = random.Random(2)
+    say = lambda: " ".join(rng.choice(["river", "stone", "walked", "x9", "é"]) for _ in range(rng.randrange(5, 900)))
+    same = say()
+    docs = spark.createDataFrame([(i, same if i % 7 == 0 else say()) for i in range(200)], "doc_id long, text string").coalesce(1)
+    assert len({r["score"] for r in count_tokens(docs).collect() if r["doc_id"] % 7 == 0}) == 1
+
+
+@pytest.mark.parametrize("limit", [60, 1000])
+def test_parts_of_long_texts_change_nothing(monkeypatch, limit):
+    """Every text in many parts gives what it gives in one."""
+    from quire.llm import common, counts, decontaminate, neardup, substrings
+
+    whole = pa.array([" ".join(t for i, t in _texts().items() if t and i != 73) + "  é" * 40 + " " + "z" * 3000 + " end"])
+    for overlap in (0, 4, 34):
+        words, seen = [], 0
+        full = next(common.parts(whole, common.SPACED, 0, 1 << 40))
+        for p in common.parts(whole, common.SPACED, overlap, limit):
+            text = p.data.tobytes()
+            mine = [text[a:b] for a, b in zip(p.s.tolist(), p.e.tolist())]
+            assert int(p.base[0]) == seen and len(mine) - int(p.own[0]) <= overlap
+            words, seen = [*words[:seen], *mine], seen + int(p.own[0])
+        raw = full.data.tobytes()
+        assert words == [raw[a:b] for a, b in zip(full.s.tolist(), full.e.tolist())]
+    one = pa.RecordBatch.from_arrays([pa.array([b"r"]), whole], ["rid", "text"])
+    bench, vocabulary = [("i", "w1 w2"), ("j", _texts()[5])], decontaminate.Vocabulary()
+    phrases = decontaminate.phrases(bench, vocabulary)
+
+    class Shipped:
+        def __init__(self, value):
+            self.value = value
+
+    def all_of(limit_):
+        monkeypatch.setattr(substrings, "parts", lambda col, inside, overlap=0: common.parts(col, inside, overlap, limit_))
+        for module in (neardup, counts):
+            monkeypatch.setattr(module, "parts", substrings.parts)
+        monkeypatch.setattr(decontaminate, "parts", lambda col, inside, overlap, _: common.parts(col, inside, overlap, limit_))
+        node = next(neardup._nodes(iter([one]))).to_pydict()
+        windows = sorted(w for b in substrings._window_rows(35)(iter([pa.RecordBatch.from_arrays([*one.columns, pa.array([[{"a": 3, "n": 700}, {"a": 900, "n": 80}]])], ["rid", "text", "ranges"])])) for w in zip(*[c.to_pylist() for c in b.columns]))
+        covered = set()
+        for b in substrings._anchor_rows(35)(iter([one])):
+            for r in b.to_pylist():
+                covered |= {(x["key"], k) for x in r["parts"] for k in range(x["a"], x["a"] + x["n"])}
+        spans = [{"a": 2, "b": 60}, {"a": 100, "b": 135}, {"a": 1000, "b": 1500}]
+        gone = [(row, g.tolist(), [bytes(raw[x:y]) for x, y in zip(s, e)]) for row, g, raw, s, e in substrings._pieces(pa.RecordBatch.from_arrays([whole, pa.array([spans])], ["text", "spans"]), "text", "spans")]
+        gone = [x for _, g, w in gone for x in zip(g, w)]
+        tokens = [int(v[0]) for v in counts.Counter(counts.default_vocabulary())(whole)[:2]]
+        found = decontaminate._pass(Shipped(vocabulary), [Shipped(phrases)], True, "cut", 1 << 30, 10, ["text", "n_words", "spans", "items"])
+        empty = [pa.array([0]), pa.array([[]], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array([[]], pa.list_(pa.string()))]
+        found = next(found(iter([pa.RecordBatch.from_arrays([whole, *empty], ["text", "n_words", "spans", "items"])]))).to_pydict()
+        return node, windows, covered, gone, tokens, found
+
+    assert all_of(limit) == all_of(1 << 40)
+
+
+def test_memory_of_a_very_long_text():
+    """A text of 48 MB takes a few times its bytes, not sixty."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import pyarrow as pa
+from quire.llm import neardup, substrings
+text = "".join(f"w{i % 9973} and then x{i * 7 % 131} " for i in range(2_400_000))
+b = pa.RecordBatch.from_arrays([pa.array([b"r"]), pa.array([text], pa.large_string())], ["rid", "text"])
+n = len(text)
+del text
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(x.num_rows for x in substrings._anchor_rows(35)(iter([b])))
+words = next(neardup._nodes(iter([b]))).column(2)[0].as_py()
+print(n, rows, words, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True)
+    n, rows, words, grown = map(int, out.stdout.split())
+    assert n > 43 << 20 and rows and words == 4 * 2_400_000
+    assert grown < 400 << 10, "kilobytes"
