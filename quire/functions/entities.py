@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The names that are decoded; all others stay as they are.
-NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
 
 _REFERENCE = re.compile(r"&(?:(amp|lt|gt|quot|apos|nbsp)|#[xX](\+?[0-9A-Fa-f]{1,8})|#(\+?[0-9]{1,9}));")
 

@@ -24,6 +24,16 @@ def _decode(names: pd.Series) -> pd.Series:
     return names.map(decode_name, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _encode(names: pd.Series) -> pd.Series:
+    return names.map(encode_name, na_action="ignore")
+
+
+def percent_encode(name: Column) -> Column:
+    """Bytes other than letters, digits and / - . _ ~ as escapes."""
+    return _encode(name)
+
+
 def percent_decode(name: Column) -> Column:
     """Spark's own function reads a plus sign as a space and fails on bad escapes, so this goes through Python in Arrow batches."""
     return _decode(name)

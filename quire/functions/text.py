@@ -61,6 +61,11 @@ def token_budget(model: str) -> int:
     return LITE_BUDGET if "lite" in model else FULL_BUDGET
 
 
+def preview_requests(chars: Column, model: str) -> Column:
+    """A rough count of requests before anything is read; the estimate proper counts batches."""
+    return F.ceil(chars / 2.3 / token_budget(model)).cast("long")
+
+
 def model_rpm(model: Column) -> Column:
     return F.when(model.contains("lite"), LITE_RPM).otherwise(FULL_RPM)
 
@@ -76,7 +81,7 @@ def escape_html(text: Column) -> Column:
 
 def unescape_named(text: Column) -> Column:
     """The six named entities, each once (what `&amp;` gives is not read again)."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

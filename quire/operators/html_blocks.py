@@ -27,7 +27,11 @@ MARK_CLASS = "ebtr-translation"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))
 _SIBLING = {"li": "li", "dt": "dt", "dd": "dd", "td": "td", "th": "td"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_WS = r"\t\n\f\r "
+#: Attributes as HTML has them: a quote opens a value directly behind "=" only, elsewhere it is a character like others.
+_VALUE = rf"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^{_WS}>\"'][^{_WS}>]*+"
+_ATTRIBUTES = rf"(?:[{_WS}/]|[^{_WS}/>][^{_WS}/>=]*+(?:[{_WS}]*+=[{_WS}]*+(?:{_VALUE})?+)?+)*+"
+_TAG = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^{_WS}/>]*+){_ATTRIBUTES}(?:(>)|\Z)", re.S)
 
 
 def _scan(html: str) -> Iterator[tuple[str, int, int, str]]:
@@ -49,7 +53,7 @@ def _scan(html: str) -> Iterator[tuple[str, int, int, str]]:
         if m.start() > pos:
             yield "text", pos, m.start(), ""
         pos = m.end()
-        if m[2]:
+        if m[3]:
             tag = m[2].lower()
             yield ("end" if m[1] else "start"), m.start(), pos, tag
             raw = tag if not m[1] and tag in _RAW else ""

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import numerals, paths, text
 from quire.functions.hashing import cache_key, cache_prefix
 from quire.operators import batching, cache, html_blocks, pages, progress, requests
-from quire.plans import tables
-from quire.plans.oracle import ORACLE_SQL
+from quire.plans import books, books_sql, oracle, tables
 from quire.streaming import quota
 from quire.translate import stub
 
@@ -72,7 +71,7 @@ def q07_pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = cache.lookup(items, known).withColumn("hit", F.col("t").isNotNull())
     batched = batching.build_batches(hits, MODEL, keep=("hit",))
     # the log of a job that stopped after its first batch names that batch of every book
-    resumed = items.select("book").distinct().withColumn("batch_id", F.lit(0).cast("long"))
+    resumed = tables.books(spark, sf_dir).withColumn("batch_id", F.lit(0).cast("long"))
     return cache.pending(batched, resumed)
 
 
@@ -259,5 +258,5 @@ def q29_usage_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.select("day", "model", progress.usage_line(F.col("requests"), F.col("exhausted"), reset).alias("line"))
 
 
-QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()} | books.QUERIES
+ORACLE_SQL = {**oracle.ORACLE_SQL, **books_sql.SQL}

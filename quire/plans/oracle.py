@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quire.functions.numerals import NOT_PAGE_NUMBERS
-from quire.functions.text import LANGUAGE_CODES
-from quire.operators.requests import FLASH, LITE
+# ---------------------------------------------------------------- fixed values, listed here again so that an error in the engine's lists shows
+NOT_PAGE_NUMBERS = "di mi ci li mix lo yo jo ill oil oily lily joy lol loll jill yoyo".split()
+FLASH = [f"gemini-3.{k}-flash" for k in (5, 6, 7, 8)]
+LITE = [f"gemini-3.{k}-flash-lite" for k in (5, 1)]
+LANGUAGE_CODES = [x.split("=") for x in "burmese=my myanmar=my english=en chinese=zh-CN japanese=ja korean=ko thai=th vietnamese=vi french=fr german=de spanish=es hindi=hi indonesian=id arabic=ar russian=ru".split()]
 
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -204,7 +206,7 @@ def _replaced(x: str, *pairs: tuple[str, str]) -> str:
 
 
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
-_UNESCAPES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+_UNESCAPES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 _escape = lambda x: _replaced(x, *_ESCAPES)
 _unescape = lambda x: _replaced(x, *_UNESCAPES)
 

@@ -27,6 +27,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("skipped", ~is_translatable(F.col("text")))
 
 
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book): the books of blocks()."""
+    return read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("book")).distinct()
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, page, text): a document is a page of its source."""
     return read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")

@@ -41,3 +41,8 @@ def pdf_string(raw: Column) -> Column:
     """A PDF string: UTF-16BE behind its mark, else UTF-8 with replacements for what is not."""
     wide = F.hex(F.substring(raw, 1, 2)) == "FEFF"
     return F.when(wide, F.decode(F.unhex(F.substring(F.hex(raw), 5, 1 << 30)), "UTF-16BE")).otherwise(F.make_valid_utf8(raw.cast("string")))
+
+
+def decode_pdf_string(raw: bytes) -> str:
+    """The same for one value."""
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8", "replace")

@@ -7,9 +7,9 @@ Lines that are no such JSON are skipped.
 from __future__ import annotations
 
 import json
-import os
+import time
+import uuid
 from dataclasses import asdict, dataclass, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,28 +82,72 @@ class Settings:
 MODES = ("bilingual", "translated")
 
 
-def load_settings(path: str) -> Settings:
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    jvm, p, fs = _file(spark, path)
+    if not fs.exists(p):
+        return ""
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_file(spark: SparkSession, path: str, text: str, private: bool = False) -> None:
+    """Written whole under another name, then given its own; on any file system that Spark knows."""
+    jvm, p, fs = _file(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{p.toString()}.part")
+    stream = fs.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.hsync()
+    stream.close()
+    if private:
+        fs.setPermission(part, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"could not write {path}")
+
+
+def load_settings(spark: SparkSession, path: str) -> Settings:
     """Defaults where the file is absent or blank, or lacks a field; a broken file is kept aside and reported."""
-    file = Path(path)
-    text = file.read_text() if file.exists() else ""
+    text = _read(spark, path)
     if not text.strip():
         return Settings()
     try:
         known = {f.name for f in fields(Settings)}
         return Settings(**{k: v for k, v in json.loads(text).items() if k in known})
     except (ValueError, AttributeError, TypeError) as e:
-        aside = file.with_suffix(".broken")
-        file.replace(aside)
+        jvm, p, fs = _file(spark, path)
+        aside = f"{path.removesuffix('.json')}.broken"
+        fs.rename(p, jvm.org.apache.hadoop.fs.Path(aside))
         raise ValueError(f"settings were broken and are kept in {aside}") from e
 
 
-def save_settings(settings: Settings, path: str) -> None:
-    file = Path(path)
-    file.parent.mkdir(parents=True, exist_ok=True)
-    part = file.with_suffix(".part")
-    with part.open("w") as f:
-        json.dump(asdict(settings), f)
-        f.flush()
-        os.fsync(f.fileno())
-    part.chmod(0o600)
-    part.replace(file)
+def save_settings(spark: SparkSession, settings: Settings, path: str) -> None:
+    """Readable by the owner only, since they hold the key."""
+    write_file(spark, path, json.dumps(asdict(settings)), private=True)
+
+
+# ---------------------------------------------------------------- finished batches of jobs
+
+
+BATCH = "key:string,batch_id:bigint,items:array<struct<d:bigint,b:bigint,part:int,t:string,model:string>>,seq:bigint"
+
+
+def append_batches(spark: SparkSession, batches: list[dict], folder: str) -> None:
+    """Lines for batches {key, batch_id, items}, in a file of their own."""
+    seq = time.time_ns()
+    write_file(spark, f"{folder}/{seq}-{uuid.uuid4().hex}.jsonl", "".join(json.dumps({**b, "seq": seq}, ensure_ascii=False) + "\n" for b in batches))
+
+
+def read_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, batch_id, d, b, part, t): of each batch the last line that holds any item."""
+    rows = _lines(spark, folder, BATCH).select("v.*").where("key is not null and batch_id >= 0 and size(items) > 0")
+    return latest(rows, ["key", "batch_id"]).select("key", "batch_id", F.inline("items")).where("t is not null").drop("model")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import collapse_ws
 from quire.operators import html_blocks
-from quire.plans.job import bilingual_rows, call, translate
-from quire.sources import binary, epub, logs
+from quire.plans.job import answers, bilingual_rows, call, plan, translate
+from quire.plans.samples import pdf_file
+from quire.sources import binary, epub, logs, pdf, pdf_text
+from quire.translate.desk import Desk, Served
 from quire.translate.stub import StubTranslator
 
 CH1 = "<html><head><title>x</title></head><body><h1>Chapter One</h1><p>Hello world, this is the first chapter.</p><p>42</p></body></html>"
@@ -88,8 +90,9 @@ def test_books_from_files_to_bilingual_books(spark, tmp_path):
     assert '<p class="ebtr-translation">[MY] Hello world' in page and "[MY] 42" not in page
     only = html_blocks.rewrite_docs(keyed, told, "translated", "key").where(F.col("key").endswith("ch2.xhtml")).first()["html"]
     assert "<p>[MY] Second chapter &amp; more" in only and "<li>[MY] Item one</li>" in only
-    paths = epub.save(epub.repacked(files, rewritten), str(tmp_path / "out"))
-    assert paths[0].endswith("a.epub") and epub.read_book(open(paths[0], "rb").read()).title == "Test Book"
+    saved = epub.save(epub.repacked(files, rewritten), f"file://{tmp_path}/out").collect()
+    made = open(saved[0]["path"].removeprefix("file:"), "rb").read()
+    assert saved[0]["path"].endswith("a.epub") and saved[0]["bytes"] == len(made) and epub.read_book(made).title == "Test Book"
 
 
 def test_new_books_are_readable_and_the_same(spark):
@@ -100,7 +103,66 @@ def test_new_books_are_readable_and_the_same(spark):
     book = epub.read_book(bytes(one))
     assert book.title == "A & B" and [d[1] for d in book.docs] == ["Part 1", "Part 2"]
     assert "<p>text 00 &lt;x&gt;</p>" in book.docs[0][2] and '<p class="ebtr-translation">told 0</p>' in book.docs[0][2]
-    assert "zh-TW" in zipfile.ZipFile(io.BytesIO(bytes(one))).read("OEBPS/content.opf").decode()
+    assert "zh-TW" in zipfile.ZipFile(io.BytesIO(bytes(one))).read("OEBPS/book.opf").decode()
+
+
+def test_damaged_members_are_a_row_not_a_failed_job(spark):
+    whole = sample()
+    at = whole.index(b"OEBPS/text/ch2.xhtml") + 30
+    bad = whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :]
+    with zipfile.ZipFile(io.BytesIO(whole)) as z:
+        start = next(i.header_offset for i in z.infolist() if i.filename.endswith("content.opf"))
+    lost = whole[: start + 60] + b"#" + whole[start + 61 :]
+    rows = spark.createDataFrame([("a", "a", bad), ("b", "b", lost), ("c", "c", whole[:200]), ("d", "d", None)], "book string, file_name string, content binary")
+    out = {r["book"]: r for r in epub.books(rows).collect()}
+    assert len(out["a"]["docs"]) == 1 and out["a"]["warnings"][0].startswith("damaged document") and out["a"]["error"] is None
+    assert all(out[k]["error"] and not out[k]["docs"] for k in "bcd")
+    new = spark.createDataFrame([(k, "OEBPS/text/ch1.xhtml", "x") for k in "ac"], "book string, path string, html string")
+    packed = {r["book"]: r for r in epub.repacked(rows.select("book", "content"), new).collect()}
+    assert packed["a"]["error"] and packed["c"]["error"] and packed["c"]["content"] is None
+
+
+def test_pdf_reader_on_what_writers_do():
+    pages = [["One line (a)", "é ß €"], [], ["last \\ one"]]
+    raw = pdf_file("Tïtle", "Au(th)or", pages)
+    assert pdf_text.read_pdf(raw) == ["One line (a)\né ß €", "", "last \\ one"] and pdf_text.describe(raw) == ("Tïtle", "Au(th)or")
+    shifted = raw.replace(b"startxref\n", b"startxref\n9")
+    assert pdf_text.read_pdf(shifted) == pdf_text.read_pdf(raw), "a broken table does no harm"
+    assert pdf_text.describe(b"%PDF-1.4 nothing") == ("", "")
+    for bad in (b"%PDF-1.4 nothing", raw + b"/Encrypt 5 0 R"):
+        with pytest.raises(ValueError):
+            pdf_text.read_pdf(bad)
+    cmap = b"1 begincodespacerange <00> <ff> endcodespacerange 1 beginbfchar <01> <00410042> endbfchar 2 beginbfrange <02> <04> <0061> <05> <06> [<007a> <0079>] endbfrange"
+    body = b"BT /F 9 Tf 1 0 0 1 50 700 Tm (\\001\\002) Tj [(\\003) -300 <04> 20 (\\005)] TJ 1 0 0 1 50 680 Tm (\\006) Tj ET BT /G 9 Tf (caf\\351 \\200) ' ET BI /W 1 ID (Tj EI BT /H 1 Tf <80> Tj ET"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Contents [4 0 R] /Resources << /Font << /F 5 0 R /G 7 0 R /H 8 0 R >> >> >>", b"<< >>\nstream\n" + body + b"\nendstream", b"<< /ToUnicode 6 0 R >>", b"<< >>\nstream\n" + cmap + b"\nendstream", b"<< /Subtype /Type1 >>", b"<< /Encoding << /Differences [ 128 /fi /Adieresis ] >> >>"]
+    raw = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1))
+    assert pdf_text.read_pdf(raw) == ["ABab cz\ny\ncafé €\nfi"]
+
+
+def test_pdf_objects_in_streams():
+    import zlib
+
+    inner = [b"<< /Type /Catalog /Pages 11 0 R >>", b"<< /Type /Pages /Kids [12 0 R] >>", b"<< /Type /Page /Contents 1 0 R >>"]
+    head, at = b"", 0
+    for n, o in zip((10, 11, 12), inner):
+        head += b"%d %d " % (n, at)
+        at += len(o) + 1
+    packed = zlib.compress(head + b" ".join(inner))
+    raw = b"%%PDF-1.5\n1 0 obj\n<< /Length 99 >>\nstream\nBT (plain) Tj ET\nendstream\nendobj\n2 0 obj\n<< /Type /ObjStm /N 3 /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (len(head), len(packed), packed)
+    assert pdf_text.read_pdf(raw) == ["plain"]
+
+
+def test_reader_chain(spark):
+    files = spark.createDataFrame([("a", b"x"), ("b", b"")], "book string, content binary")
+
+    def broken(content):
+        raise RuntimeError("no program")
+
+    rows = pdf.pages(files, [broken, lambda c: [" "], pdf.Reader("md", lambda c: ["# Head\n**x**"] if c else [], "markdown")]).collect()
+    by = {r["book"]: r for r in rows}
+    assert by["a"]["text"] == "Head\nx\n" and by["b"]["text"] is None and "broken: no program" in by["b"]["error"] and "md: no text" in by["b"]["error"]
+    assert pdf.pages_of_dump("a\fb\f") == ["a", "b"] and pdf.pages_of_dump("") == [""]
+    assert {r["error"] for r in pdf.pages(files, []).collect()} == {"no page reader is installed"}
 
 
 def test_page_dumps_and_readers(spark):
@@ -130,14 +192,15 @@ def test_logs(spark, tmp_path):
     assert logs.read_cache(spark, store).count() == 0
 
 
-def test_settings(tmp_path):
-    path = str(tmp_path / "s" / "settings.json")
-    assert logs.load_settings(path) == logs.Settings()
-    logs.save_settings(logs.Settings(model="m"), path)
-    assert logs.load_settings(path).model == "m" and (tmp_path / "s" / "settings.json").stat().st_mode & 0o777 == 0o600
-    (tmp_path / "s" / "settings.json").write_text("{broken")
+def test_settings(spark, tmp_path):
+    path = f"file://{tmp_path}/s/settings.json"
+    assert logs.load_settings(spark, path) == logs.Settings()
+    logs.save_settings(spark, logs.Settings(model="m"), path)
+    assert logs.load_settings(spark, path).model == "m" and (tmp_path / "s" / "settings.json").stat().st_mode & 0o777 == 0o600
+    logs.write_file(spark, path, "{broken")
     with pytest.raises(ValueError, match="broken"):
-        logs.load_settings(path)
+        logs.load_settings(spark, path)
+    assert (tmp_path / "s" / "settings.broken").read_text() == "{broken" and logs.load_settings(spark, path) == logs.Settings()
 
 
 def test_calls_halve_fall_back_and_stop():
@@ -149,13 +212,73 @@ def test_calls_halve_fall_back_and_stop():
         sent.append((model, len(part)))
         return stub(model, part) if len(part) <= 2 else ("truncated", [], 0)
 
-    got, outcome, _, _ = call(small, "gemini-3.5-flash-lite", items)
-    assert outcome == "done" and len(got) == 7 and got[3] == "[MY] t3"
+    told = call(small, Desk("gemini-3.5-flash-lite"), items)
+    assert told.outcome == "done" and len(told.answers) == 7 and told.answers[3] == ("[MY] t3", "gemini-3.5-flash-lite")
     dry = lambda model, part: ("quota", [], 0) if model == "gemini-3.5-flash-lite" else stub(model, part)
-    assert call(dry, "gemini-3.5-flash-lite", items)[3] == "gemini-3.1-flash-lite"
-    assert call(lambda m, p: ("quota", [], 0), "x", items)[1] == "exhausted"
-    assert call(lambda m, p: ("ok", [(1, "only")], 5), "x", items)[1] == "failed"
-    assert call(lambda m, p: ("fatal", [], 0), "x", items)[:2] == ({}, "fatal")
+    desk = Desk("gemini-3.5-flash-lite")
+    assert {m for _, m in call(dry, desk, items).answers.values()} == {"gemini-3.1-flash-lite"} and desk.model() == "gemini-3.1-flash-lite"
+    spent = call(lambda m, p: ("quota", [], 0), Desk("x"), items)
+    assert spent.outcome == "fatal" and not spent.answers, "no model is left"
+    assert call(lambda m, p: ("ok", [(1, "only")], 5), Desk("x"), items).outcome == "failed"
+    assert call(lambda m, p: ("fatal", [], 0, "bad key"), Desk("x"), items) .error == "bad key"
+
+    def counting(outcome):
+        sent.clear()
+
+        def one(model, part):
+            sent.append(model)
+            return outcome, [], 0
+
+        return one
+
+    assert call(counting("transient"), Desk("x"), items).outcome == "failed" and len(sent) == 5
+    assert call(counting("failed"), Desk("x"), items).outcome == "failed" and len(sent) == 1, "a translator's own failure is final"
+    bad = lambda model, part: ("truncated", [], 0) if any(t == "t5" for _, t in part) else stub(model, part)
+    told = call(bad, Desk("x"), items)
+    assert told.outcome == "failed" and sorted(told.answers) == [1, 2, 3, 4, 6, 7]
+
+
+def test_workers_share_one_desk(spark, tmp_path):
+    """Four tasks under one limiter: starts lie apart as if one had called; a batch that is kept is not called again."""
+    rows = [("k", n, 0, n, -1, f"text {n}", None) for n in range(8)]
+    df = spark.createDataFrame(rows, "book string, batch_id long, d long, b long, part int, text string, t string")
+    desk = Desk("any", total=8)
+    desk.paces["any"] = pace = __import__("quire.translate.desk", fromlist=["Pace"]).Pace(600)
+    served = Served(desk, "localhost")
+
+    class Paced:
+        desk = None
+
+        def bind(self, desk):
+            out = Paced()
+            out.desk = desk
+            return out
+
+        def __call__(self, model, items):
+            import time
+
+            time.sleep(self.desk.book(model))
+            with open(f"{tmp_path}/calls", "a") as f:
+                f.write(f"{time.time()}\n")
+            self.desk.sent(model)
+            return "ok", [(i, t.upper()) for i, t in items], 7, ""
+
+    try:
+        out = answers(df, "any", Paced(), served.address, 4).collect()
+        starts = sorted(map(float, open(f"{tmp_path}/calls").read().split()))
+        assert len(starts) == 8 and all(b - a > 0.06 for a, b in zip(starts, starts[1:])) and pace.gap == 0.1
+        assert {r["t"] for r in out} == {f"TEXT {n}" for n in range(8)} and desk.snapshot()["done"] == 8 and desk.snapshot()["tokens"] == 56 and len(desk.calls) == 8
+        again = answers(df, "any", Paced(), served.address, 4).collect()
+        assert len(open(f"{tmp_path}/calls").read().split()) == 8 and {r["t"] for r in again} == {r["t"] for r in out}
+    finally:
+        served.close()
+
+
+def test_plan_needs_full_coverage(spark):
+    blocks = spark.createDataFrame([("k", 0, i, f"line number {i}", False) for i in range(3)] + [("q", 0, 0, "other book", False)], "book string, d long, b long, text string, skipped boolean")
+    log = spark.createDataFrame([("k", 0, 0, -1, "x"), ("k", 0, 1, -1, "y"), ("q", 0, 0, -1, "z")], "book string, d long, b long, part int, t string")
+    rows = {(r["book"], r["b"]): (r["t"], r["resumed"]) for r in plan(blocks, "x-lite", None, log).collect()}
+    assert rows == {("k", 0): ("x", False), ("k", 1): ("y", False), ("k", 2): (None, False), ("q", 0): ("z", True)}
 
 
 def test_translation_uses_cache_resume_and_parts(spark):
