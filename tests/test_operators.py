@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -170,3 +171,63 @@ def test_counters_and_usage_line(spark):
     cases = spark.createDataFrame([(0, False), (1, False), (2, None), (3, True), (None, None)], "n long, e boolean")
     got = [r[0] for r in cases.select(progress.usage_line(F.col("n"), F.col("e"), F.lit("08:00"))).collect()]
     assert got == ["daily quota resets 08:00", "1 request on this model today · resets 08:00", "2 requests on this model today · resets 08:00", "quota exhausted for today — resets 08:00", "daily quota resets 08:00"]
+
+
+def _greedy(sizes, limit, most):
+    out, total, count, group = [], 0, 0, 0
+    for n in sizes:
+        if count and (total + n > limit or most is not None and count >= most):
+            total, count, group = 0, 0, group + 1
+        total, count = total + n, count + 1
+        out.append(group)
+    return out
+
+
+def test_blocks_compose_to_the_greedy_fold():
+    """Blocks summed up one by one, composed, and numbered on their own, against one walk over all items."""
+
+    import numpy as np
+
+    from quire.operators.batching import Walk, taken
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        limit, most = rng.choice([1, 5, 10, 40]), rng.choice([None, 1, 3, 7])
+        blocks = [[rng.choice([0, 1, 2, 5, 9, 50]) for _ in range(rng.randrange(1, rng.choice([3, 30])))] for _ in range(rng.randrange(1, 7))]
+        state, got = (0, 0, 0), []
+        for b in blocks:
+            walk = Walk(np.array(b), limit, most)
+            got += walk.groups(*state).tolist()
+            n, size, group = state
+            at = taken(walk.total[1 : walk.head() + 1], n, size, limit, most) if n else 0
+            if n and at == len(b):
+                state = (n + len(b), size + sum(b), group)
+            else:
+                x = walk.exits()[at]
+                state = (x[0], x[1], group + (1 if n else 0) + x[2])
+        assert got == _greedy(sum(blocks, []), limit, most)
+
+
+@pytest.mark.parametrize("docs", [1, 4, 4096])
+def test_groups_over_many_blocks(spark, monkeypatch, docs):
+
+
+    monkeypatch.setattr(batching, "BLOCK_DOCS", docs)
+    rng = random.Random(docs)
+    rows = [(book, d, b, rng.choice([0, 3, 40, 90, 300]), f"{d}-{b}") for book in ("one", "two", None) for d in range(-3, 30) for b in range(rng.randrange(0, 9))]
+    df = spark.createDataFrame(rows, "book string, d long, b long, n long, tag string").repartition(5)
+    for limit, most in ((100, None), (250, 3)):
+        want = {}
+        for book in ("one", "two", None):
+            mine = [r for r in rows if r[0] == book]
+            want |= {(book, r[1], r[2]): (r[3], r[4], g) for r, g in zip(mine, _greedy([r[3] for r in mine], limit, most), strict=True)}
+        got = batching.assign_groups(df, "book", ["d", "b"], "n", limit, most, ("tag",))
+        assert got.columns == ["book", "d", "b", "tag", "n", "group_id"]
+        assert {(r["book"], r["d"], r["b"]): (r["n"], r["tag"], r["group_id"]) for r in got.collect()} == want
+    assert batching.assign_groups(df.limit(0), "book", ["d", "b"], "n", 5, None).count() == 0
+
+
+def test_debug_exports(spark):
+
+    items = spark.createDataFrame([("k", 0, b, p, 2) for b in range(20) for p in (0, 1)] + [("k", 1, 0, -1, None)], "book string, d long, b long, part int, n_parts int")
+    assert [(r["b"], r["k"]) for r in batching.first_splits(items).orderBy("k").collect()] == [(i, i) for i in range(12)]
