@@ -2,6 +2,10 @@
 
 Every stage works on all rows that the one before kept. Its result is written as Parquet in the
 shared folder and read back, so lost executors never reach behind a stage.
+
+In every stage: a null text has no words and is scored as empty; repeated rows are copies of each
+other; null ids are fine; texts of any length are read whole; an empty table stays empty; extra columns
+travel along under any names, those that the operators use inside included.
 """
 
 from __future__ import annotations
@@ -20,28 +24,28 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels, predicts to be good."""
+    """Documents that the quality classifier, trained on the labels, predicts to be good; all, where one of the labels has no rows."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five-word shingles, Jaccard >= 0.8)."""
+    """One document of each class of near-duplicates (five-word shingles, Jaccard >= 0.8): that of the smallest id. Documents without words all stay."""
     return neardup.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that repeated 35-word windows cover."""
+    """Texts without the words that repeated 35-word windows cover; a document may be left with an empty text, but stays."""
     return _sized(substrings.dedup(docs))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that 10-word windows of benchmark items cover."""
+    """Texts without the words that 10-word windows of benchmark items cover (an item of fewer words is one window); all else of a text stays."""
     return _sized(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in the packed sequences."""
+    """A row for each piece of a document in the packed sequences; a text without tokens is its closing id alone."""
     return packing.pack(docs)
 
 
