@@ -9,8 +9,8 @@ Template, a turn after another::
 
     <s>[ROLE] text [/ROLE]</s>   with the role's own name between the brackets
 
-Inside roles and texts a backslash is written \\e, < is written \\l and [ is written \\b, so none of
-the template's control strings can occur there; unescape() reverses it.
+Inside roles and texts a backslash is written \\e, < is written \\l, [ is written \\b and ] is written
+\\r, so none of the template's control strings can occur there; unescape() reverses it.
 """
 
 from __future__ import annotations
@@ -46,7 +46,9 @@ def unescape(text: Column) -> Column:
 def chain(rows: DataFrame, tree: str, order: list[str], role: str, text: str) -> DataFrame:
     """Plain conversations as trees of one path: each row replies to the one before in this order.
 
-    Rows that tie in the order are taken by role and text. Null roles and texts become empty.
+    Rows that tie in the order are taken by role and text; nulls come first in it. Null roles and
+    texts become empty, texts stay whole at any length. Null tree ids are one tree; repeated rows are
+    turns of their own; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     src = rows.select(F.col(tree).alias("tree"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = F.row_number().over(Window.partitionBy("tree").orderBy(*[f"o{i}" for i in range(len(order))], "role", "text")).cast("long")
@@ -58,7 +60,9 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
 
     A path's score is the mean score of its messages; ties go to the smaller leaf. A message whose
     parent is null, or missing from the tree, is a root. Messages in a cycle, or below one, have no
-    root and appear on no path.
+    root and appear on no path. Null scores count 0, null tree ids are one tree. (tree, node) names a
+    message, so rows that repeat it multiply the paths through it. Other columns are ignored; an
+    empty table gives no rows.
     """
     key = table(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     live = key.select(F.col("tree").alias("t"), F.col("node").alias("p")).distinct()

@@ -251,7 +251,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs, all columns, without the rows that score below the threshold; nothing is shuffled."""
+    """docs, all columns, without the rows that score below the threshold; nothing is shuffled.
+
+    Null and empty texts are scored as the empty text; whole texts count at any length; repeated rows
+    share their fate; without a model all rows stay; an empty table stays empty; columns may have any
+    names, those used inside included.
+    """
     fields = [f.name for f in docs.schema.fields]
     inner = docs.toDF(*[f"c{i}" for i in range(len(fields))])
     at = fields.index(text_col)

@@ -91,10 +91,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.llm.urls import judge, label_pages, train
+    """The tables label documents, not URLs; the labelled URLs are those that a rule judges."""
+    from quire.llm.urls import judge, label_by_rules, train
 
     pages = _read(spark, sf_dir, "pages")
-    return judge(pages, train(label_pages(pages, _read(spark, sf_dir, "labels"))))
+    return judge(pages, train(label_by_rules(pages)))
 
 
 QUERIES = {

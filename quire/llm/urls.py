@@ -279,7 +279,9 @@ def judge(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str
     return df.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
 
-def label_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, label): pages whose id the labels table marks; 1 where it is of low quality or toxic."""
-    marks = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).cast("int").alias("label")).where("label is not null")
-    return pages.select("page_id", "url").join(marks, "page_id").select("url", "label")
+def label_by_rules(pages: DataFrame, url_col: str = "url", rules: list[Rule] = DEFAULT_RULES) -> DataFrame:
+    """(url, label) of the pages whose URL a rule judges: 1 where it blocks. What rules say by hand the trees carry to URLs that no rule knows."""
+    df = pages.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
+    df = df.withColumns({"host": host_of("url"), "path": path_of("url")})
+    df = _inline(df, rules) if len(rules) <= MAX_INLINE_RULES else _joined(df, rules)
+    return df.where("rule is not null").select("url", (F.col("rule_verdict") == "block").cast("int").alias("label"))
