@@ -14,13 +14,14 @@ windows on one anchor make one row. Names only bring rows together; whether thei
 verified on a 128-bit digest of the words' bytes, so unequal words under one name change nothing. In
 Spark, then:
 
-1. Adjacent rows make stretches, cut where the names say so. Stretches whose words all occur again
-   are repeats entirely; one of each kind goes on, for the edges of others.
-2. Of the other stretches' rows those whose anchor name occurs once can hold no repeat and go (most of
-   them). Where all rows of a name have the same words, all of them are repeats, entirely.
-3. Where one name stands among different words (the edges of repeats), rows whose words all occur
-   again are repeats entirely, and each distinct stretch of words is opened into its windows, which
-   are compared by the digests of their words.
+1. The rows are counted by anchor name alone (partly before the shuffle). Those of a name that occurs
+   once can hold no repeat and go; only the others are dealt with their digests.
+2. Rows whose words all occur again are repeats entirely.
+3. Where one name stands among different words (the edges of repeats), each distinct stretch of words
+   is opened into its windows, which are compared by the digests of their words.
+
+Texts are dealt by row key once, into a bucketed table, beside which both the opening and the
+removal find their rows without moving texts again.
 
 A very long text is taken in parts that overlap by a window less one word; a row that a part's end
 cuts shares its name with whole ones, so step 3 settles it.
@@ -29,6 +30,7 @@ cuts shares its name with whole ones, so step 3 settles it.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import SPACED, U64, Part, chunks, drop, mix, owner, parts, range_digests, row_key, signed, spaced, table, word_names
+from quire.shared import _fs
 
 #: Words of a window; rounds; rounds that name runs (single words repeat, later names rarely do). After four
 #: rounds a window of 35 words still holds several symbols of three words on average, among which neighbouring
 #: windows mostly choose the same one: about one row for 11 words.
 WINDOW, ROUNDS, RUN_ROUNDS = 35, 4, (1,)
-#: Anchor rows of a stretch at most.
-MOST = 64
+#: Bytes of the input, as stored, that a bucket holds, about.
+BUCKET_BYTES = 16 << 20
 
 _RUN, _PAIR_A, _PAIR_B, _LEVEL = U64(0x8CB92BA72F3D8DD7), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA24BAED4963EE407)
 
@@ -147,23 +150,8 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple
 # ---------------------------------------------------------------- Spark
 
 
-def stretches(doc: np.ndarray, a: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """First row of each stretch of adjacent anchor rows: cut where the name says so, about every fourth row.
-
-    Rows beyond MOST end a stretch too: that depends on the place, and only costs a later look.
-    """
-    if not len(doc):
-        return np.zeros(0, np.int64)
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (a[1:] != a[:-1] + count[:-1])
-    new |= mix(key ^ _RUN) & U64(3) == 0
-    head = np.flatnonzero(new)
-    at = np.arange(len(doc)) - np.repeat(head, np.diff(np.append(head, len(doc))))
-    return np.flatnonzero(new | (at % MOST == 0))
-
-
 def _anchor_rows(window: int):
-    names = ["rid", "key", "w1", "w2", "a", "n", "parts"]
+    names = ["rid", "key", "w1", "w2", "a", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -172,15 +160,8 @@ def _anchor_rows(window: int):
                 doc, a, n, key = anchors(word_names(buf, at), p.first, window)
                 begin = p.first[doc] + a
                 words = range_digests(buf, at[begin], at[begin + n + window - 1])
-                head = stretches(doc, a, n, key)
-                total = np.add.reduceat(n, head) if len(head) else n
-                whole = range_digests(buf, at[begin[head]], at[begin[head] + total + window - 1])
                 small = lambda x: pa.array(x.astype(np.int32))
-                a = a + p.base[doc]
-                rows = pa.StructArray.from_arrays([pa.array(signed(key)), pa.array(words[:, 0]), pa.array(words[:, 1]), small(a), small(n)], ["key", "w1", "w2", "a", "n"])
-                lists = pa.ListArray.from_arrays(small(np.append(head, len(doc))), rows)
-                rid = b.column(0).take(pa.array(p.rows[doc[head]]))
-                yield pa.RecordBatch.from_arrays([rid, pa.array(signed(key[head])), pa.array(whole[:, 0]), pa.array(whole[:, 1]), small(a[head]), small(total), lists], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(p.rows[doc])), pa.array(signed(key)), pa.array(words[:, 0]), pa.array(words[:, 1]), small(a + p.base[doc]), small(n)], names)
 
     return run
 
@@ -209,30 +190,38 @@ def _window_rows(window: int):
     return run
 
 
+def dealt(src: DataFrame, name: str = "texts") -> DataFrame:
+    """src (with rid) as a table bucketed by rid in the warehouse: joins by rid move its rows no more."""
+    spark = src.sparkSession
+    size = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // BUCKET_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))  # a size not known
+    n = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")), wanted))
+    path = f"quire_{name}_{uuid.uuid4().hex}"
+    src.repartition(n, "rid").write.option("compression", "zstd").bucketBy(n, "rid").saveAsTable(path, format="parquet")
+    fs, p = _fs(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{path}")
+    fs.deleteOnExit(p)
+    return spark.table(path)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans): for each row key of docs (rid, text) the word ranges [a, b) that repeated windows cover."""
-    part = "array<struct<key:bigint,w1:bigint,w2:bigint,a:int,n:int>>"
-    long = table(docs.mapInArrow(_anchor_rows(window), f"rid binary, key long, w1 long, w2 long, a int, n int, parts {part}"), "stretches")
-    again = long.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("rid", "a")).alias("one")).where("m > 1")
-    again = table(again.select("w1", "w2", "one"), "again")
-    marked = table(long.join(again.hint("merge"), ["w1", "w2"], "left").select("rid", "a", "n", F.col("one").isNotNull().alias("twice"), F.when(F.col("one").isNull() | (F.col("one") == F.xxhash64("rid", "a")), F.col("parts")).alias("parts")), "marked")
-    drop(long, again)
-    rows = marked.where("parts is not null").select("rid", F.inline("parts"))
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[f(w).alias(f"{f.__name__}_{w}") for f in (F.min, F.max) for w in ("w1", "w2")]).where("m > 1")
-    shared = table(keys.select("key", ((F.col("min_w1") == F.col("max_w1")) & (F.col("min_w2") == F.col("max_w2"))).alias("same")), "keys")
-    some = table(rows.join(shared.hint("merge"), "key"), "shared")
-    drop(shared)
-    mixed = some.where("not same")
-    contexts = table(mixed.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a", "n")).alias("one")), "contexts")
-    met = mixed.join(contexts.where("m > 1").select("w1", "w2"), ["w1", "w2"], "left_semi")
-    whole = some.where("same").unionByName(met).select("rid", "a", "n").unionByName(marked.where("twice").select("rid", "a", "n"))
-    open_ = contexts.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.a", "one.n")).alias("ranges"))
-    windows = table(docs.join(open_, "rid").mapInArrow(_window_rows(window), "w1 long, w2 long, rid binary, a int").distinct(), "windows")
+    rows = table(docs.mapInArrow(_anchor_rows(window), "rid binary, key long, w1 long, w2 long, a int, n int"), "anchors")
+    keys = table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "keys")
+    some = table(rows.join(keys.hint("merge"), "key"), "shared")
+    drop(rows, keys)
+    contexts = table(some.groupBy("key", "w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "a", "n")).alias("one")), "contexts")
+    again = contexts.where("m > 1").select("w1", "w2").hint("merge")
+    whole = table(some.select("rid", "w1", "w2", "a", "n").join(again, ["w1", "w2"], "left_semi").select("rid", "a", (F.col("a") + F.col("n") + (window - 1)).alias("b")), "whole")
+    mixed = table(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "mixed")
+    opened = contexts.join(mixed.hint("merge"), "key").groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct("one.a", "one.n")).alias("ranges"))
+    opened = table(opened, "opened")
+    drop(some, contexts, mixed)
+    # a row that repeats is opened once for each copy; all its windows do occur again
+    windows = table(docs.join(opened.hint("merge"), "rid").select("rid", "text", "ranges").mapInArrow(_window_rows(window), "w1 long, w2 long, rid binary, a int"), "windows")
     twice = table(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w1", "w2"), "twice")
     edges = windows.join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("rid", "a", (F.col("a") + window).alias("b"))
-    both = whole.select("rid", "a", (F.col("a") + F.col("n") + (window - 1)).alias("b")).unionByName(edges)
-    spans = table(both.distinct().groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    drop(marked, some, contexts, windows, twice)
+    spans = table(whole.unionByName(edges).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    drop(whole, opened, windows, twice)
     return spans
 
 
@@ -264,9 +253,9 @@ def _with_spans(docs: DataFrame, text_col: str, id_col: str, window: int) -> tup
     fields = [f.name for f in docs.schema.fields]
     inner = docs.toDF(*[f"c{i}" for i in range(len(fields))])
     text, key = f"c{fields.index(text_col)}", f"c{fields.index(id_col)}"
-    src = inner.withColumn(text, F.col(text).cast("string")).withColumn("rid", row_key(key, text))
+    src = dealt(inner.withColumn(text, F.col(text).cast("string")).withColumn("rid", row_key(key, text)))
     spans = repeated_spans(src.select("rid", F.col(text).alias("text")), window)
-    return src.join(spans, "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))), fields
+    return src.join(spans.hint("merge"), "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))), fields
 
 
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
