@@ -1,4 +1,4 @@
-"""What the operators share: materialised tables, Arrow chunking, words and their names in numpy.
+"""What the operators share: row keys, Arrow chunking, words and their names in numpy.
 
 All names are functions of the content alone, so every task on every executor names the same
 content alike and a recomputed task gives the same names again. Where equality decides a result,
@@ -7,75 +7,22 @@ a name is a 128-bit BLAKE2b digest of the bytes themselves; words are told apart
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.shared import drop, shared_dir, table  # noqa: F401  operators take them from here
+
 #: Bytes of text that a Python worker holds as numpy arrays at once (a longer single text goes alone).
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 
 
-#: Spark removes a query's shuffle files as soon as the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-# ---------------------------------------------------------------- tables in the shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a new temporary one in local mode, else an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, lost executors lose nothing.
-
-    Its shuffle files are not needed once it is written, so they are released. The table goes when
-    the driver's JVM ends, or with drop().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    keep = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if keep is None else spark.conf.set(_CLEANUP, keep)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(schema).parquet(path)
-    out._quire_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that no later result reads."""
-    for t in tables:
-        fs, p = _fs(t.sparkSession, t._quire_path)
-        fs.delete(p, True)
-
-
 def row_key(doc_id: str, text: str):
     """A 128-bit key of a row out of SHA-256: rows that repeat (same id, same text) share it and get the same results."""
     part = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
