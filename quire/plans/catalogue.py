@@ -119,7 +119,10 @@ def q12_path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q12b_toc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries take the first label that a table of contents has for them, else a name made from the file's."""
+    """Entries take the first label that a table of contents has for them, else a name made from the file's.
+
+    The tables hold no contents: a benchmark item's first sentence stands in for a label.
+    """
     entry = q12_path_normalize(spark, sf_dir)
     toc = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), F.substring_index("text", ".", 1).alias("label"))
     labels = entry.join(toc, "page_id").groupBy("entry").agg(F.min_by("label", "page_id").alias("label"))
@@ -224,6 +227,7 @@ def q25_lang_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q26_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts, percentages and file names as shown. The tables hold no book titles: a text's first 12 characters and marks that file names must not have stand in for one."""
     docs = tables.read(spark, sf_dir, "documents")
     n, size = F.col("n_chars"), F.octet_length("text").cast("long") * 97
     done = F.length(F.regexp_replace("text", "[^a-z]", "")).cast("long")
