@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import SPACED, U64, Part, chunks, drop, mix, owner, parts, range_digests, row_key, signed, spaced, table, word_names
-from quire.shared import _fs
+from quire.shared import _fs, shared_dir
 
 #: Words of a window; rounds; rounds that name runs (single words repeat, later names rarely do). After four
 #: rounds a window of 35 words still holds several symbols of three words on average, among which neighbouring
@@ -191,16 +191,17 @@ def _window_rows(window: int):
 
 
 def dealt(src: DataFrame, name: str = "texts") -> DataFrame:
-    """src (with rid) as a table bucketed by rid in the warehouse: joins by rid move its rows no more."""
+    """src (with rid) as a table bucketed by rid in the shared folder: joins by rid move its rows no more."""
     spark = src.sparkSession
     size = int(str(src._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = -(-size // BUCKET_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))  # a size not known
     n = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")), wanted))
-    path = f"quire_{name}_{uuid.uuid4().hex}"
-    src.repartition(n, "rid").write.option("compression", "zstd").bucketBy(n, "rid").saveAsTable(path, format="parquet")
-    fs, p = _fs(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{path}")
+    entry = f"quire_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire/{entry}"
+    src.repartition(n, "rid").write.option("compression", "zstd").option("path", path).bucketBy(n, "rid").saveAsTable(entry, format="parquet")
+    fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
-    return spark.table(path)
+    return spark.table(entry)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
